@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality, url_filter
+from . import chat_format, decontaminate, mixing, quality, token_count, url_filter
 
+TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
@@ -43,6 +45,55 @@ select page_id, host, path, rule,
 """
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = """
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size,
+  coalesce(cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 12) as bigint), 0) as h from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+w as (select *, cast(1 + (row_number() over (order by source nulls last) - 1) % 3 as double) as w, source_size * 3.0::double as cap from s),
+r as (select *, cap / w as ratio from w),
+l as (select *, (sum(source_size) over () - (sum(cap) over (order by ratio, source nulls last) - cap))
+  / (sum(w) over () - sum(w) over (order by ratio, source nulls last) + w) as level from r),
+f as (select level from l where level <= ratio order by ratio, source nulls last limit 1),
+t as (select source, source_size, case when (select count(*) from f) = 0 then cap else least(cap, (select level from f) * w) end as target from l),
+n as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from t),
+p as (select d.*, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size as need,
+  cast(sum(size) over (partition by d.source order by h range between unbounded preceding and current row) as bigint) as cum,
+  cast(sum(size) over (partition by d.source, h) as bigint) as own
+  from d join n on d.source is not distinct from n.source)
+select doc_id, size, source_size, target, cast(size * (whole + case when whole < 3 and (cum <= need
+  or (cum - own <= need and (need - (cum - own)) * 2 >= own)) then 1 else 0 end) as bigint) as taken from p
+"""
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark")).drop("text")
+
+
+OP3_SQL = r"""
+with dw as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+iw as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+ig as (select distinct item_id, k, array_to_string(w[p : p + k - 1], ' ') as g from (select item_id, w, least(13, len(w)) as k, unnest(range(1, cast(len(w) - least(13, len(w)) + 2 as bigint))) as p from iw where len(w) > 0)),
+lens as (select distinct k from ig),
+dg as (select doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, cast(len(w) - k + 2 as bigint))) as p from dw, lens where len(w) >= k)),
+m as (select dg.doc_id, dg.p, dg.k, ig.item_id from dg join ig on dg.g = ig.g and dg.k = ig.k),
+hit as (select doc_id, count(distinct pos) as n from (select doc_id, unnest(range(p, p + k)) as pos from m) group by doc_id),
+its as (select doc_id, count(distinct item_id) as n, sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) as s from m group by doc_id)
+select d.doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit, cast(coalesce(its.n, 0) as bigint) as n_items,
+  coalesce(its.s, sha256('')) as items_sha256, coalesce(hit.n > 0 and 20 * hit.n >= len(w), false) as contaminated
+from dw d left join hit on hit.doc_id = d.doc_id left join its on its.doc_id = d.doc_id
+"""
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = quality.outlier_flags(quality.text_counts(docs))
@@ -81,10 +132,13 @@ from w group by conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_source_mixing": op2_source_mixing,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_token_counts": op4_token_counts,
         "op5_quality_rules": op5_quality_rules,
         "op8_chat_format": op8_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_source_mixing": OP2_SQL, "op3_decontaminate": OP3_SQL, "op8_chat_format": OP8_SQL}
