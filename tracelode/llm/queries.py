@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, near_dup, quality, token_count, url_filter
+from . import chat_format, decontaminate, mixing, near_dup, quality, token_coder, token_count, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
@@ -133,6 +133,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(_read(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_coder.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -142,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op8_chat_format": op8_chat_format,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_token_files": op10_token_files,
     }
 
 
