@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, near_dup, quality, substring_dedup, token_coder, token_count, url_filter
+from . import chat_format, decontaminate, mixing, near_dup, quality, substring_dedup, token_coder, token_count, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
@@ -104,6 +104,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.shared_passages(_read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -149,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_token_files": op10_token_files,
