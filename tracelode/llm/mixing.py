@@ -56,12 +56,38 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     Null texts and empty texts have size 0 and take nothing; null sources are a
     source of their own; an empty table gives no rows.
     """
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place_hash(F.col("doc_id")).alias("h"))
-    return plan_of_sizes(cut(sizes, "mix-sizes"), weights, share, repeat)
+    return plan_of_sizes(cut(_sizes(docs), "mix-sizes"), weights, share, repeat)
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place_hash(F.col("doc_id")).alias("h"))
 
 
 def plan_of_sizes(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, repeat: int = 3) -> DataFrame:
     """``mix_plan`` for a table of ``doc_id, source, size, h`` that is cheap to read again."""
+    out = sizes.join(source_limits(sizes, weights, share, repeat), F.col("source").eqNullSafe(F.col("s")))
+    out = out.select("doc_id", "size", "source_size", "target", _copies(repeat).alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _copies(repeat: int) -> Column:
+    return F.col("whole") + F.when((F.col("h") < F.col("limit")) & (F.col("whole") < repeat), 1).otherwise(0)
+
+
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, repeat: int = 3) -> DataFrame:
+    """The mix itself: every row of ``docs`` as many times as the plan takes it, all columns kept.
+
+    The plan is one row per source, so texts are neither shuffled nor sorted.
+    """
+    sizes = cut(_sizes(docs), "mix-sizes")
+    plan = source_limits(sizes, weights, share, repeat).withColumnsRenamed({c: f"__{c}" for c in ("s", "whole", "limit")})
+    copies = F.col("__whole") + F.when((place_hash(F.col("doc_id")) < F.col("__limit")) & (F.col("__whole") < repeat), 1).otherwise(0)
+    out = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
+
+
+def source_limits(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, repeat: int = 3) -> DataFrame:
+    """``s`` (source), ``source_size, target, whole`` (times that all rows are taken) and ``limit`` (hashes below are taken once more)."""
     targets = source_targets(sizes, weights, share, repeat)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole)
@@ -82,7 +108,4 @@ def plan_of_sizes(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share:
             rows = cut(rows.join(state.select("s", "prefix"), same).where(F.shiftright("h", shift) == F.col("prefix")).select("source", "size", "h"), "mix-boundary")
     limit = F.when(F.col("need") * 2 >= F.col("n"), F.col("prefix") + 1).otherwise(F.col("prefix"))
     limits = state.select(F.col("s").alias("ls"), limit.alias("limit"))
-    plan = targets.join(limits, F.col("s").eqNullSafe(F.col("ls")), "left").select("s", "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << 48)).alias("limit"))
-    copies = F.col("whole") + F.when((F.col("h") < F.col("limit")) & (F.col("whole") < repeat), 1).otherwise(0)
-    out = sizes.join(plan, same).select("doc_id", "size", "source_size", "target", copies.alias("copies"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return targets.join(limits, F.col("s").eqNullSafe(F.col("ls")), "left").select("s", "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << 48)).alias("limit"))
