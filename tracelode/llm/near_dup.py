@@ -7,10 +7,9 @@
    in bands.
 3. Exact copies share a digest and are one node from here on. Nodes of one band
    bucket are compared with the bucket's least node only; weighted Jaccard
-   similarities are computed from whole texts. As one minus that similarity is a
-   metric, a pair that was not compared can only be linked if both distances to
-   the least node differ by at most the link distance; such pairs and nodes
-   that did not link are compared in turn, so no link is lost to the shortcut.
+   similarities are computed from whole texts. Nodes that this leaves apart from
+   their bucket's least node meet all others by a prefix join on their rarest
+   shingles, which is exact, so no link is lost to the shortcut.
 4. Connected components of the links give the classes.
 """
 
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -214,13 +213,36 @@ def _similarity_pass(sent):
     return run
 
 
+def _prefix_pass(sent, threshold: float):
+    """Node, shingle and total weight for the shingles of each text's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_idf = sent.value
+        for batch in batches:
+            for part, data, off in blocks(batch, most=_BLOCK):
+                h, row, _ = _text_shingles(data, off)
+                h, row, tf = _distinct(h, row)
+                w = WEIGHTS[_levels(h, tf, log_idf)]
+                rare = log_idf[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                order = np.lexsort((h, -rare, row))
+                h, row, w = h[order], row[order], w[order]
+                total = np.bincount(row, w, part.num_rows)
+                before = np.cumsum(w) - w
+                first = np.searchsorted(row, np.arange(part.num_rows))
+                before -= np.append(before, 0.0)[first][row]
+                keep = total[row] - before >= (threshold - 1e-9) * total[row]
+                yield pa.record_batch({"y": part.column(0).take(pa.array(row[keep])), "h": h[keep].view(np.int64), "w": total[row[keep]]})
+
+    return run
+
+
 class _Verifier:
     """Similarities of id pairs, from whole texts; each pair is computed once."""
 
     def __init__(self, docs: DataFrame, sent, wanted: DataFrame):
         self.sent = sent
         # The texts of nodes in shared buckets only: one pass over the documents, dealt by id.
-        self.texts = cut(docs.join(wanted, "doc_id", "left_semi"), "near-texts")
+        self.texts = cut(docs.join(wanted.hint("merge"), "doc_id", "left_semi"), "near-texts")
         self.done: DataFrame | None = None
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -236,7 +258,7 @@ class _Verifier:
         return found
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILAR, rounds: int = 3) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``doc_id, class_id, class_size, n_words`` for every row of ``docs``.
 
     Rows are in one class if a chain of pairs with weighted Jaccard similarity of
@@ -268,21 +290,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILAR, rounds:
     wanted = entry.select(F.col("node").alias("doc_id")).distinct()
     texts = _one_text_per_id(docs, own) if _has_repeats(rows) else docs
     verify = _Verifier(texts, sent, wanted)
-    stars = []
-    for i in range(rounds):
-        centre = entry.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        star = entry.join(centre, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b"))
-        verify(star.select("a", "b"))
-        star = cut(star.join(verify.done, ["a", "b"]), "near-star")
-        stars.append(star.withColumn("round", F.lit(i)))
-        entry = star.where(F.col("sim") < threshold).select("bucket", F.col("b").alias("node"))
-        if entry.isEmpty():
-            break
-    labels = cut(components(verify.done.where(F.col("sim") >= threshold).select("a", "b")), "near-labels")
-    rest = cut(_unsettled(stars, entry, labels, threshold), "near-rest")
-    if not rest.isEmpty():
-        verify(rest)
-        labels = components(verify.done.where(F.col("sim") >= threshold).select("a", "b"))
+    # One star per bucket, from its least node; both ways of counting a bucket are partial sums.
+    centre = entry.groupBy("bucket").agg(F.min("node").alias("a"))
+    star = entry.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b"))
+    verify(star)
+    labels = cut(_labels(verify, threshold), "near-labels")
+    open_ = cut(_open_pairs(verify, labels, sent, threshold), "near-open")
+    if not open_.isEmpty():
+        # The likeliest partner in each other component first; what that leaves apart is compared in full.
+        best = Window.partitionBy("x", "cy").orderBy(F.desc("shared"), "y")
+        verify(_ordered(open_.withColumn("k", F.row_number().over(best)).where("k = 1")))
+        labels = cut(_labels(verify, threshold), "near-labels")
+        apart = _labelled(_labelled(open_.select("x", "y"), labels, "x", "cx"), labels, "y", "cy").where("cx <> cy")
+        rest = cut(_ordered(apart), "near-rest")
+        if not rest.isEmpty():
+            verify(rest)
+            labels = _labels(verify, threshold)
     labels = cut(labels, "near-labels")
 
     classed = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("class_id"))
@@ -293,33 +316,37 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = SIMILAR, rounds:
     return out.join(sizes, F.col("class_id").eqNullSafe(F.col("c"))).select("doc_id", "class_id", "class_size", "n_words")
 
 
-def _unsettled(stars: list[DataFrame], entry: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that the stars left open: ``a, b``.
+def _labels(verify: _Verifier, threshold: float) -> DataFrame:
+    return components(verify.done.where(F.col("sim") >= threshold).select("a", "b"))
+
+
+def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    of = labels.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
+    return df.join(of, F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__c", node)).drop("__n", "__c")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _open_pairs(verify: _Verifier, labels: DataFrame, sent, threshold: float) -> DataFrame:
+    """Pairs ``x, y, cx, cy, shared`` of different components that may still be linked.
 
-    A node x that didn't link to its bucket's centre can link to a node y that
-    did only if x is within twice the link distance of the centre and no farther
-    than the link distance beyond y. Nodes that linked to no centre in all
-    rounds are paired with one another.
+    Two nodes of one bucket that are not in one component can't both be in its
+    centre's, so one of them is x: a node apart from its centre. With shingles
+    in one order, rarest first, two texts as similar as the threshold have their
+    first common shingle in both their prefixes, a prefix being the shingles from
+    which on the text still has ``threshold`` of its weight; nor can the lighter
+    text have less than that share of the heavier one's weight. Both filters
+    lose no link.
     """
-    link = 1.0 - threshold
-    star = stars[0]
-    for more in stars[1:]:
-        star = star.unionByName(more)
-
-    def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
-        of = labels.select(F.col("node").alias(node), F.col("component").alias(name))
-        return df.join(of, node, "left").withColumn(name, F.coalesce(name, node))
-
-    near = star.where((F.col("sim") < threshold) & (F.col("sim") >= 1.0 - 2.0 * link - 1e-9)).select("round", "bucket", "a", F.col("b").alias("x"), (1.0 - F.col("sim")).alias("dx"))
-    near = labelled(labelled(near, "x", "cx"), "a", "ca").where("cx <> ca").select("round", "bucket", "x", "dx")
-    linked = star.where(F.col("sim") >= threshold).select("round", "bucket", F.col("b").alias("y"), (1.0 - F.col("sim")).alias("dy"))
-    fringe = near.join(linked, ["round", "bucket"]).where(F.col("dx") - F.col("dy") <= link + 1e-9).select("x", "y")
-    open_ = cut(labelled(entry, "node", "c"), "near-open")
-    mixed = open_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = open_.join(mixed, "bucket")
-    left = open_.select("bucket", F.col("node").alias("x"), F.col("c").alias("cx")).join(open_.select("bucket", F.col("node").alias("y"), F.col("c").alias("cy")), "bucket")
-    left = left.where("x < y and cx <> cy").select("x", "y")
-    return fringe.unionByName(left).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = _labelled(_labelled(verify.done.where(F.col("sim") < threshold).select("a", "b"), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
+    x = apart.select(F.col("b").alias("x")).distinct()
+    prefix = cut(verify.texts.mapInArrow(_prefix_pass(sent, threshold), "y bigint, h bigint, w double"), "near-prefix")
+    right = _labelled(prefix, labels, "y", "cy")
+    left = right.join(x, F.col("y") == F.col("x")).select("x", "h", F.col("w").alias("wx"), F.col("cy").alias("cx"))
+    met = left.join(right, "h").where("cx <> cy").where(F.least("w", "wx") >= F.greatest("w", "wx") * (threshold - 1e-9))
+    return met.groupBy("x", "y", "cx", "cy").agg(F.count("*").alias("shared"))
 
 
 def _one_text_per_id(docs: DataFrame, own: DataFrame) -> DataFrame:
