@@ -1 +1 @@
-"""Functions."""
+"""Column functions: everything here stays in the JVM."""
