@@ -38,7 +38,7 @@ def cost_line(priced: DataFrame) -> DataFrame:
         F.format_string("%.4f", "input_cost_usd"), F.lit(" + $"), F.format_string("%.4f", "output_cost_usd"), F.lit(" = $"),
         F.format_string("%.4f", "total_usd"), F.lit(" ("), "provider", F.lit(":"), "model", F.lit(")"),
     )
-    return priced.withColumn("line", text)
+    return priced.withColumn("line", F.when(F.col("total_usd").isNotNull(), text))
 
 
 def prompt_tokens(hits: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repositories as tables: files by the binary-file reader, chunks and imports by one parse per file."""
+"""Repositories as tables: files with contents, chunks and imports by one parse per file."""
 
 from __future__ import annotations
 
@@ -27,22 +27,64 @@ def walk_filter(relpath: Column, length: Column, skipped: tuple[str, ...] = SKIP
     return ~closed & (length > 0) & (length <= LARGEST_FILE) & language_of(relpath).isNotNull() & ~ignored(relpath, rules or [])
 
 
-def scan_repo(spark: SparkSession, root: str, extra_skipped: tuple[str, ...] = ()) -> DataFrame:
-    """``relpath, language, size_bytes, sha, content`` of the files of a repository."""
-    local = root.removeprefix("file://")
-    if "://" not in root and not os.path.isdir(local):
+def list_files(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED_DIRS, follow_links: bool = False) -> list[tuple[str, str, int]]:
+    """(relative path, path, size) of all files below ``root``, without entering skipped and dot directories.
+
+    Spark's own listing drops names that start with ``_`` or ``.``, package files
+    of Python among them, so names are listed here; contents are read by tasks.
+    """
+    out: list[tuple[str, str, int]] = []
+    closed = lambda name: name in skipped or name.startswith(".")
+    if "://" not in root or root.startswith("file://"):
+        base = "/" + root.removeprefix("file://").lstrip("/") if root.startswith("file://") else os.path.abspath(root)
+        if not os.path.isdir(base):
+            raise NotADirectoryError(root)
+        for folder, dirs, names in os.walk(base, followlinks=follow_links):
+            dirs[:] = [d for d in dirs if not closed(d)]
+            for name in names:
+                path = os.path.join(folder, name)
+                if follow_links or not os.path.islink(path):
+                    out.append((os.path.relpath(path, base).replace(os.sep, "/"), path, os.path.getsize(path)))
+        return out
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    store = make(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.getFileStatus(make(root)).isDirectory():
         raise NotADirectoryError(root)
+    start = len(store.getFileStatus(make(root)).getPath().toString().rstrip("/")) + 1
+    todo = [make(root)]
+    while todo:
+        for x in store.listStatus(todo.pop()):
+            path = x.getPath()
+            if x.isDirectory():
+                if not closed(path.getName()):
+                    todo.append(path)
+            else:
+                out.append((path.toString()[start:], path.toString(), x.getLen()))
+    return out
+
+
+def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path = batch.column(1)[i].as_py()
+            store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            with store.open_input_stream(inner) as f:
+                yield pa.record_batch({"relpath": batch.column(0).slice(i, 1), "length": batch.column(2).slice(i, 1), "content": pa.array([f.read()], pa.binary())})
+
+
+def scan_repo(spark: SparkSession, root: str, extra_skipped: tuple[str, ...] = (), follow_links: bool = False) -> DataFrame:
+    """``relpath, language, size_bytes, sha, content`` of the files of a repository."""
+    found = list_files(spark, root, SKIPPED_DIRS + extra_skipped, follow_links)
     rules: list = []
-    if os.path.isfile(f"{local}/.gitignore"):
-        with open(f"{local}/.gitignore", encoding="utf-8", errors="replace") as f:
-            rules = ignore_rules(f.read())
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
-    tail = F.regexp_replace("path", r"^file:/+", "/")
-    start = base.removeprefix("file://")
-    relpath = F.substring(tail, F.instr(tail, start + "/") + F.lit(len(start) + 1), F.length("path"))
-    files = raw.select(relpath.alias("relpath"), "length", "content")
-    files = files.where(walk_filter(F.col("relpath"), F.col("length"), SKIPPED_DIRS + extra_skipped, rules))
+    if ignore := [path for rel, path, _ in found if rel == ".gitignore"]:
+        rows = spark.createDataFrame([("", ignore[0], 0)], "relpath string, path string, length bigint")
+        text = rows.mapInArrow(_read_contents, "relpath string, length bigint, content binary").first()["content"]
+        rules = ignore_rules(bytes(text).decode("utf-8", "replace"))
+    names = spark.createDataFrame(found, "relpath string, path string, length bigint")
+    names = names.where(walk_filter(F.col("relpath"), F.col("length"), SKIPPED_DIRS + extra_skipped, rules))
+    files = names.mapInArrow(_read_contents, "relpath string, length bigint, content binary")
     return files.select("relpath", language_of(F.col("relpath")).alias("language"), F.col("length").alias("size_bytes"), content_sha(F.col("content")).alias("sha"), "content")
 
 
