@@ -80,7 +80,8 @@ def mix_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     The plan is one row per source, so texts are neither shuffled nor sorted.
     """
     sizes = cut(_sizes(docs), "mix-sizes")
-    plan = source_limits(sizes, weights, share, repeat).withColumnsRenamed({c: f"__{c}" for c in ("s", "whole", "limit")})
+    # A written plan has a known size, by which Spark decides to send it; else texts would be dealt by source.
+    plan = cut(source_limits(sizes, weights, share, repeat), "mix-plan").withColumnsRenamed({c: f"__{c}" for c in ("s", "whole", "limit")})
     copies = F.col("__whole") + F.when((place_hash(F.col("doc_id")) < F.col("__limit")) & (F.col("__whole") < repeat), 1).otherwise(0)
     out = docs.join(plan, F.col("source").eqNullSafe(F.col("__s")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
