@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import ALNUM, blocks, flat, mix
+from .textblocks import ALNUM, blocks, mix
 
 LENGTH = 3
 DECAY = 0.6
@@ -202,14 +202,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
 
 
+def _text_blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    batch = pa.record_batch({"text": pa.array(texts, pa.large_string())})
+    for _, data, off in blocks(batch, most=1 << 20):
+        yield data, off
+
+
 def fit(texts: list[str], y: np.ndarray, n_landmarks: int = LANDMARKS) -> Model:
+    """Model of labelled texts; works in blocks, so that the driver holds little more than the texts."""
     if not len(y) or y.min() == y.max():
         return Model(prior=float(y.max()) if len(y) else 0.0)
-    data, off = flat(pa.array(texts, pa.large_string()))
-    landmarks = choose_landmarks(data, off, y, n_landmarks)
+    landmarks = choose_landmarks(texts, y, n_landmarks)
     if not landmarks:
         return Model(prior=float(y.mean()))
-    x = text_vectors(data, off, landmarks).astype(np.float64)
+    x = np.concatenate([text_vectors(data, off, landmarks) for data, off in _text_blocks(texts)]).astype(np.float64)
     marks = [np.frombuffer(z, np.uint8) for z in landmarks]
     among = np.array([[subsequence_kernel(a[None, :], b)[0] for b in marks] for a in marks], np.float64)
     own = np.sqrt(np.diag(among))
@@ -275,7 +281,25 @@ def _different(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def choose_landmarks(data: np.ndarray, off: np.ndarray, y: np.ndarray, most: int) -> list[bytes]:
+def _documents_and_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Distinct (document, word) pairs in order, and the words that the numbers stand for."""
+    number: dict[bytes, int] = {}
+    docs, found = [], []
+    before = 0
+    for data, off in _text_blocks(texts):
+        words, row = units(data, off)
+        if len(words):
+            coded = words.dictionary_encode()
+            place = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int64)
+            pair = np.unique(row.astype(np.int64) << 40 | place[coded.indices.to_numpy(zero_copy_only=False)])
+            docs.append((pair >> 40) + before)
+            found.append(pair & ((1 << 40) - 1))
+        before += len(off) - 1
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(docs or none), np.concatenate(found or none), list(number)
+
+
+def choose_landmarks(texts: list[str], y: np.ndarray, most: int) -> list[bytes]:
     """Character sequences of toxic texts that clean texts lack, beyond what chance explains.
 
     Near copies of a text count once. A sequence qualifies if so many of the
@@ -283,14 +307,11 @@ def choose_landmarks(data: np.ndarray, off: np.ndarray, y: np.ndarray, most: int
     give that to any; each one chosen removes the words that it stands in before
     others are judged.
     """
-    words, row = units(data, off)
-    if not len(words):
+    doc, word, names = _documents_and_words(texts)
+    if not names:
         return []
-    coded = words.dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    keys = pa.array([bytes([START]) + w for w in coded.dictionary.to_pylist()], pa.large_binary())
-    pair = np.unique(row.astype(np.int64) * len(keys) + index)
-    doc, word = pair // len(keys), pair % len(keys)
+    keys = pa.array([bytes([START]) + w for w in names], pa.large_binary())
+    del names
     alone = _different(doc, word, len(y))[doc]
     doc, word = doc[alone], word[alone]
     toxic_doc = y[doc] > 0
@@ -382,7 +403,7 @@ def _evidence(tox: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
 def _score_rows(sent, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in blocks(batch, most=8 << 20):
+            for part, data, off in blocks(batch, most=4 << 20):
                 score = pa.array(sent.value.scores(data, off), pa.float64())
                 yield pa.record_batch({n: score if n == "__score" else part.column(n) for n in names})
 
