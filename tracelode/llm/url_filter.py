@@ -46,11 +46,12 @@ class Level:
     bits: np.ndarray
     size: int
     hashes: int
+    first: int = 0  # number of the level's first hash: no two levels share one
 
     def hit(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.ones(len(h1), bool)
         for i in range(self.hashes):
-            at = ((h1 >> np.uint64(20)) + np.uint64(i) * (h2 >> np.uint64(20))) % np.uint64(self.size)
+            at = ((h1 >> np.uint64(20)) + np.uint64(self.first + i) * (h2 >> np.uint64(20))) % np.uint64(self.size)
             out &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return out
 
@@ -110,21 +111,23 @@ def _probe(levels: list[Level], want_open: bool):
     return probe
 
 
-def _encode(keys: DataFrame, n: int, rate: float, most_bytes: int) -> Level:
+def _encode(keys: DataFrame, n: int, rate: float, most_bytes: int, number: int = 0) -> Level:
     """Bloom filter of the (h1, h2) rows, its words or-ed together on the cluster."""
-    size = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-    size = -(-size // 64) * 64
+    size = max(1024, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
+    # Odd and different from level to level, so that keys that agree modulo one size don't modulo the next.
+    size = -(-size // 64) * 64 - 1 - 2 * number
     if size // 8 > most_bytes:
         raise ValueError(f"a level of {size // 8} bytes is over the bound of {most_bytes}; raise most_bytes or filter the keys first")
     hashes = max(1, round(size / max(n, 1) * math.log(2)))
     hashes = min(hashes, 16)
-    at = [(F.shiftrightunsigned("h1", 20) + F.lit(i) * F.shiftrightunsigned("h2", 20)) % F.lit(size) for i in range(hashes)]
+    first = 16 * number
+    at = [(F.shiftrightunsigned("h1", 20) + F.lit(first + i) * F.shiftrightunsigned("h2", 20)) % F.lit(size) for i in range(hashes)]
     bit = keys.select(F.explode(F.array(*at)).alias("at"))
     words = bit.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    out = np.zeros(size // 64, np.int64)
+    out = np.zeros(size // 64 + 1, np.int64)
     for row in words.toLocalIterator():
         out[row["word"]] = row["bits"]
-    return Level(out.view(np.uint64), size, hashes)
+    return Level(out.view(np.uint64), size, hashes, first)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01, most_bytes: int = 64 << 20, most_levels: int = 40) -> Cascade:
@@ -148,7 +151,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01, mo
     outside = cut(wrong, "cascade-outside")
     turn, (now, other) = 1, (outside, inside)
     while (n := now.count()) and len(levels) < most_levels:
-        levels.append(_encode(now, n, 0.5 if turn > 1 else rate, most_bytes))
+        levels.append(_encode(now, n, 0.5 if turn > 1 else rate, most_bytes, turn))
         caught = cut(other.where(_probe(levels[-1:], True)("h1", "h2")), "cascade-caught")
         now, other, turn = caught, now, turn + 1
     if n:
