@@ -15,11 +15,11 @@ from tracelode.operators import embedding, graph, incremental, intervals, meter,
 from tracelode.sources import diffs, repo
 from tracelode.sources.state import RepoState, load_state, save_state
 
-DIFF = """diff --git a/src/orders.ts b/src/orders.ts
+DIFF = """diff --git a/web/cart.ts b/web/cart.ts
 index 1..2 100644
---- a/src/orders.ts
-+++ b/src/orders.ts
-@@ -10,5 +10,8 @@ class Orders {
+--- a/web/cart.ts
++++ b/web/cart.ts
+@@ -10,5 +10,8 @@ class Cart {
  one
  two
 +three
@@ -30,7 +30,7 @@ index 1..2 100644
 +new
  seven
 diff --git a/docs/NEW.md b/docs/NEW.md
-new file mode 100644
+new file mode 100755
 --- /dev/null
 +++ b/docs/NEW.md
 @@ -0,0 +1,2 @@
@@ -71,8 +71,8 @@ def test_ignore_rules():
 
 def test_diff():
     rows = {(r["path"], r["hunk"]): r for r in diffs.parse_diff(DIFF)}
-    first = rows["src/orders.ts", 0]
-    assert (first["new_start"], first["new_length"], first["added"], first["removed_count"], first["section_header"]) == (10, 8, [12, 13, 14, 16], 1, "class Orders {")
+    first = rows["web/cart.ts", 0]
+    assert (first["new_start"], first["new_length"], first["added"], first["removed_count"], first["section_header"]) == (10, 8, [12, 13, 14, 16], 1, "class Cart {")
     new = rows["docs/NEW.md", 0]
     assert new["is_added"] and new["added"] == [1, 2] and new["old_path"] is None
     assert rows["x.bin", -1]["is_binary"]
@@ -84,9 +84,9 @@ def test_diff():
 def test_diff_table_and_ranges(spark):
     hunks = diffs.diff_hunks(spark.createDataFrame([(DIFF, 7), (None, 8), ("", 9)], "diff string, id int"))
     assert {r["id"] for r in hunks.collect()} == {7}
-    assert {r["path"] for r in diffs.reviewable(hunks).collect()} == {"src/orders.ts", "docs/NEW.md"}
+    assert {r["path"] for r in diffs.reviewable(hunks).collect()} == {"web/cart.ts", "docs/NEW.md"}
     ranges = {(r["path"], r["range_start"], r["range_end"]) for r in diffs.added_ranges(hunks).collect()}
-    assert ranges == {("src/orders.ts", 12, 14), ("src/orders.ts", 16, 16), ("docs/NEW.md", 1, 2)}
+    assert ranges == {("web/cart.ts", 12, 14), ("web/cart.ts", 16, 16), ("docs/NEW.md", 1, 2)}
 
 
 def test_islands_random(spark):
@@ -162,7 +162,7 @@ def test_import_candidates(spark):
 
 
 def test_findings(spark):
-    raw = '{"findings": [{"file": "a", "line": 14, "severity": "LOW", "message": "m"}, {"file": "a", "line": 99, "severity": "critical", "category": "security", "message": "n"}, {"file": "ghost", "line": 1, "severity": "high", "message": "o"}, {"file": "a", "line": null, "severity": "low", "message": "p"}, {"file": "a", "line": 1, "severity": "odd", "message": "q"}, 5]}'
+    raw = '{"findings": [{"file": "a", "line": 14, "severity": "LOW", "message": "m"}, {"file": "a", "line": 99, "category": "security", "message": "n", "severity": "critical"}, {"file": "ghost", "line": 1, "severity": "high", "message": "o"}, {"file": "a", "line": null, "severity": "low", "message": "p"}, {"file": "a", "line": 1, "severity": "odd", "message": "q"}, 5]}'
     answers = spark.createDataFrame([(f"Sure!\n```json\n{raw}\n```",), ("no json",), (None,)], "raw string")
     found = review.parse_findings(answers)
     assert [r["line"] for r in review.order_findings(found).collect()] == [99, 1, 14]
@@ -208,7 +208,7 @@ def test_state(tmp_path):
     s = RepoState()
     s.add("pinned", "a", "b", "a")
     s.add("attached", "c", "a")
-    s.excluded_packs = ["b"]
+    s.excluded = ["b"]
     assert s.active == ["a", "c"]
     save_state(path, s)
     assert load_state(path) == s

@@ -92,7 +92,7 @@ class Workspace:
         old = self.table("chunks")
         base = incremental.delete_where(old.read(), stale, "file_relpath") if old.exists() and not full else None
         old.replace(ready if base is None else base.unionByName(ready))
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        now = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%S}+00:00"
         counts = self.table("chunks").read().groupBy(F.col("file_relpath").alias("relpath")).agg(F.count("*").cast("int").alias("chunk_count"))
         self.table("manifest").replace(files.select("relpath", "sha").join(counts, "relpath", "left").select("relpath", "sha", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(now).alias("indexed_at")))
         stats["chunks"] = self.table("chunks").read().count()

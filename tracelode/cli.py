@@ -12,7 +12,7 @@ from .api import Workspace, quickstart
 from .session import local_session
 
 
-def main(argv: list[str] | None = None) -> int:
+def run(arguments: list[str]) -> int:
     p = argparse.ArgumentParser(prog="tracelode")
     p.add_argument("--home", default=".tracelode")
     sub = p.add_subparsers(dest="verb", required=True)
@@ -28,11 +28,11 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("targets", nargs="*")
     s.add_argument("--diff", help="file with a unified diff, or - for standard input")
     s.add_argument("--depth", type=int, default=3)
-    s.add_argument("--limit", type=int, default=25)
+    s.add_argument("--limit", default=25, type=int)
     s = sub.add_parser("packs")
-    s.add_argument("what", choices=("list", "suggest", "apply", "create", "delete", "attach", "detach", "pin", "unpin", "status"))
+    s.add_argument("what", choices="list suggest apply create delete attach detach pin unpin status".split())
     s.add_argument("names", nargs="*")
-    a = p.parse_args(argv)
+    a = p.parse_args(arguments)
     spark = local_session()
     w = Workspace(spark, a.home)
     try:
@@ -67,7 +67,7 @@ def _run(a: argparse.Namespace, w: Workspace) -> int:
             print(f"{r['score']:.3f} depth {r['depth']} {r['citation']} {r['qualified_name']} via {r['via']}")
         print(f"risk {risk.first()['risk']}")
         return 0 if rows else 1
-    elif a.what in ("attach", "detach", "pin", "unpin"):
+    elif a.what.removeprefix("de").removeprefix("un") in ("attach", "tach", "pin"):
         state = w.state()
         where = "attached" if "attach" in a.what or a.what == "detach" else "pinned"
         (state.add if a.what in ("attach", "pin") else state.drop)(where, *a.names)
@@ -87,4 +87,4 @@ def _run(a: argparse.Namespace, w: Workspace) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(run(sys.argv[1:]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,7 +22,7 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Callable[[], Embed]:
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimensions), np.float32)
             for i, text in enumerate(texts):
-                words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
+                words = re.findall(r"[^\W_]+", text.lower())
                 for term in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
                     h = zlib.crc32(term.encode())
                     out[i, h % dimensions] += 1.0 if h >> 31 else -1.0

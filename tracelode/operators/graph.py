@@ -58,7 +58,7 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     base = F.slice(folder, 1, F.greatest(F.size(folder) - up, F.lit(0)))
     rest = F.replace(F.substring(target, dots + 1, F.length(target)), F.lit("."), F.lit("/"))
     dotted = F.when(dots > 0, F.array_join(F.filter(F.concat(base, F.array(rest)), lambda x: x != ""), "/")).otherwise(F.replace(target, F.lit("."), F.lit("/")))
-    python = F.array(*[F.concat(dotted, F.lit(x)) for x in (".py", ".pyi", "/__init__.py")])
+    python = F.array(*[F.concat(dotted, F.lit(x)) for x in ".py .pyi /__init__.py".split()])
     steps = F.aggregate(
         F.split(target, "/"), folder,
         lambda at, s: F.when(s.isin(".", ""), at).when(s == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(s))),

@@ -9,25 +9,27 @@ from dataclasses import asdict, dataclass, field
 
 @dataclass
 class RepoState:
-    pinned_packs: list[str] = field(default_factory=list)
-    attached_packs: list[str] = field(default_factory=list)
-    excluded_packs: list[str] = field(default_factory=list)
-    default_top_k: int = 8
+    """Ids of packs in the order in which they were added, and how many hits to show."""
+
+    top_k: int = 8
+    pinned: list[str] = field(default_factory=list)
+    attached: list[str] = field(default_factory=list)
+    excluded: list[str] = field(default_factory=list)
 
     @property
     def active(self) -> list[str]:
         """Pinned, then attached, once each, without the excluded."""
-        return [p for p in dict.fromkeys(self.pinned_packs + self.attached_packs) if p not in self.excluded_packs]
+        return [p for p in dict.fromkeys(self.pinned + self.attached) if p not in self.excluded]
 
     def add(self, where: str, *packs: str) -> None:
-        held = getattr(self, f"{where}_packs")
+        held = getattr(self, where)
         held.extend(p for p in dict.fromkeys(packs) if p not in held)
 
     def drop(self, where: str, *packs: str) -> None:
-        setattr(self, f"{where}_packs", [p for p in getattr(self, f"{where}_packs") if p not in packs])
+        setattr(self, where, [p for p in getattr(self, where) if p not in packs])
 
     def clear_attached(self) -> None:
-        self.attached_packs = []
+        self.attached = []
 
 
 def load_state(path: str) -> RepoState:
