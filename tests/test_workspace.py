@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode import cli, models
 from tracelode.api import EchoModel, Workspace
 
 
@@ -60,6 +61,30 @@ def test_graph_search_and_review(spark, repo_dir, tmp_path):
     assert w.impact(diff=diff)[0].count() >= 0
 
 
+def test_command_line(spark, repo_dir, tmp_path, capsys):
+    home = ["--home", str(tmp_path / "home")]
+    assert cli.run([*home, "quickstart", str(repo_dir)]) == 0
+    assert cli.run([*home, "ask", "who logs in?"]) == 0
+    assert cli.run([*home, "impact", "get_user"]) == 0 and cli.run([*home, "impact", "nothing"]) == 1
+    (tmp_path / "d").write_text("--- a/auth.py\n+++ b/auth.py\n@@ -4,1 +4,2 @@\n def login(k):\n+    x()\n")
+    (tmp_path / "a").write_text('{"findings": [{"file": "auth.py", "line": 5, "severity": "high", "message": "look"}]}')
+    assert cli.run([*home, "review", str(tmp_path / "d"), str(tmp_path / "a")]) == 1
+    assert cli.run([*home, "packs", "pin", "pack_pkg"]) == 0 and cli.run([*home, "status"]) == 0
+    assert cli.run([*home, "index", str(tmp_path / "none")]) == 3
+    said = capsys.readouterr().out
+    assert "auth.py:4-5" in said and "risk medium" in said and "auth.py:5" in said and "'active': ['pack_pkg']" in said
+
+
+def test_provider_order():
+    assert models.choose_provider({"OPENAI_API_KEY": "x", "LLM_BASE_URL": "y"}) == "local"
+    assert models.choose_provider({"OPENAI_API_KEY": "x"}) == "openai"
+    assert models.choose_provider({"OPENAI_API_KEY": "x"}, "local") == "local"
+    with pytest.raises(LookupError):
+        models.choose_provider({})
+    models.register("mine", lambda env: EchoModel(env["A"]))
+    assert models.make_model({"A": "said"}, "mine").generate("", "") == "said"
+
+
 def test_missing_repository(spark, tmp_path):
     with pytest.raises(NotADirectoryError):
         Workspace(spark, str(tmp_path / "h")).index(str(tmp_path / "none"))

@@ -199,6 +199,24 @@ class Workspace:
         found = review.parse_findings(self.spark.createDataFrame(answers, "path string, raw string")).drop("path")
         return review.order_findings(review.clamp(found, diffs.added_ranges(hunks)))
 
+    def status(self) -> dict:
+        """What is indexed, under which packs."""
+        manifest = self._read("manifest", "relpath string, sha string, chunk_count int, indexed_at string")
+        counts = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"), F.max("indexed_at").alias("indexed_at")).first()
+        return counts.asDict() | {"packs": [p for p, _ in self.pack_list()], "active": self.state().active}
+
+    @staticmethod
+    def render_hits(hits: DataFrame) -> str:
+        line = F.format_string("[%d] %s  %s %s  %.3f", "rank", "citation", "kind", "qualified_name", "score")
+        return "\n".join(r[0] for r in hits.orderBy("rank").select(line).collect())
+
+    @staticmethod
+    def render_impact(found: DataFrame, risk: DataFrame, most: int = 25) -> str:
+        line = F.format_string("%.3f  depth %d  %s %s  via %s", "score", "depth", "citation", "qualified_name", "via")
+        rows = [r[0] for r in found.limit(most).select(line).collect()]
+        told = risk.first()
+        return "\n".join([f"risk {told['risk']}: {told['n_affected']} affected, {told['n_direct']} directly", *rows])
+
     def chunks_jsonl(self, path: str, code: bool = True) -> None:
         chunks = self.table("chunks").read().drop("vector")
         (chunks if code else chunks.drop("code")).write.mode("overwrite").json(path)

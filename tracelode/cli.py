@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from .api import Workspace, quickstart
+from .api import EchoModel, Workspace, quickstart
 from .session import local_session
 
 
@@ -29,6 +29,10 @@ def run(arguments: list[str]) -> int:
     s.add_argument("--diff", help="file with a unified diff, or - for standard input")
     s.add_argument("--depth", type=int, default=3)
     s.add_argument("--limit", default=25, type=int)
+    s = sub.add_parser("review", help="clamps a model's findings to a diff and prints them, worst first")
+    s.add_argument("diff", help="file with a unified diff, or - for standard input")
+    s.add_argument("answer", help="file with the model's answer")
+    sub.add_parser("status")
     s = sub.add_parser("packs")
     s.add_argument("what", choices="list suggest apply create delete attach detach pin unpin status".split())
     s.add_argument("names", nargs="*")
@@ -42,6 +46,13 @@ def run(arguments: list[str]) -> int:
         return 3
 
 
+def _text(path: str) -> str:
+    if path == "-":
+        return sys.stdin.read()
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def _run(a: argparse.Namespace, w: Workspace) -> int:
     if a.verb == "index":
         print(w.index(a.root, a.full))
@@ -55,18 +66,19 @@ def _run(a: argparse.Namespace, w: Workspace) -> int:
         repo.chunks_of(repo.parse_files(repo.scan_repo(w.spark, a.root))).groupBy("language", "kind").count().orderBy("count", ascending=False).show(100, False)
     elif a.verb == "ask":
         out = w.ask(a.question, k=a.k, all_packs=a.all_packs)
-        out["hits"].orderBy("rank").select("rank", "citation", "kind", "qualified_name", "score").show(a.k, False)
+        print(w.render_hits(out["hits"]))
         print(f"about {out['prompt_tokens']} prompt tokens")
     elif a.verb == "impact":
-        diff = None
-        if a.diff:
-            diff = sys.stdin.read() if a.diff == "-" else open(a.diff, encoding="utf-8").read()
-        found, risk = w.impact(a.targets, diff, a.depth)
-        rows = found.limit(a.limit).collect()
+        found, risk = w.impact(a.targets, _text(a.diff) if a.diff else None, a.depth)
+        print(w.render_impact(found, risk, a.limit))
+        return 1 if risk.first()["n_affected"] == 0 else 0
+    elif a.verb == "review":
+        rows = w.review(_text(a.diff), EchoModel(_text(a.answer))).collect()
         for r in rows:
-            print(f"{r['score']:.3f} depth {r['depth']} {r['citation']} {r['qualified_name']} via {r['via']}")
-        print(f"risk {risk.first()['risk']}")
-        return 0 if rows else 1
+            print(f"{r['severity']:<8} {r['file']}:{r['line']}  {r['category']}: {r['message']}")
+        return 1 if rows else 0
+    elif a.verb == "status":
+        print(w.status())
     elif a.what.removeprefix("de").removeprefix("un") in ("attach", "tach", "pin"):
         state = w.state()
         where = "attached" if "attach" in a.what or a.what == "detach" else "pinned"
