@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textblocks import ALNUM, blocks, flat, word_hashes, word_spans
+from .workers import lean
 
 WINDOW = 13
 #: Test text sent to the tasks at once; larger test sets go in several parts.
@@ -89,8 +90,8 @@ def phrases_of(data: np.ndarray, off: np.ndarray, items: np.ndarray, window: int
     return out
 
 
-def search(index: Index, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Phrase number and start of every match within a document.
+def search(index: Index, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase number, start and document of every match within a document.
 
     Exact phrases for slop 0; else every term must stand within ``slop`` words
     of its place, counted from the rarest term's.
@@ -98,12 +99,12 @@ def search(index: Index, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, n
     none = np.zeros(0, np.int64)
     n_terms, length = phrases.terms.shape if len(phrases.terms) else (0, 0)
     if not n_terms or not len(index.terms):
-        return none, none
+        return none, none, none
     at = np.minimum(np.searchsorted(index.terms, phrases.terms), len(index.terms) - 1)
     there = index.terms[at] == phrases.terms
     live = np.flatnonzero(there.all(axis=1))
     if not len(live):
-        return none, none
+        return none, none, none
     at = at[live]
     size = (index.lists[1:] - index.lists[:-1])[at]
     order = np.argsort(size, axis=1, kind="stable")
@@ -114,8 +115,9 @@ def search(index: Index, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, n
     inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     start = index.positions[np.repeat(index.lists[at[rows, rarest]], n) + inner] - rarest[which]
     doc = np.searchsorted(index.bounds, start + rarest[which], "right") - 1
-    inside = (start >= index.bounds[doc]) & (start + length <= index.bounds[doc + 1])
-    which, start, doc = which[inside], start[inside], doc[inside]
+    if not slop:
+        inside = (start >= index.bounds[doc]) & (start + length <= index.bounds[doc + 1])
+        which, start, doc = which[inside], start[inside], doc[inside]
     span = int(index.bounds[-1]) + 1
     listed = np.repeat(np.arange(len(index.terms)), np.diff(index.lists)) * span + index.positions
     for k in range(1, length):
@@ -128,7 +130,7 @@ def search(index: Index, phrases: Phrases, slop: int = 0) -> tuple[np.ndarray, n
         place = np.minimum(np.searchsorted(listed, term * span + low), len(listed) - 1)
         found = (listed[place] >= term * span + low) & (listed[place] <= term * span + high)
         which, start, doc = which[found], start[found], doc[found]
-    return live[which], start
+    return live[which], start, doc
 
 
 def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -138,6 +140,7 @@ def build_index(docs: DataFrame, text: str = "text") -> DataFrame:
     times. Documents with null ids get id -1 in the index; null texts have no words.
     """
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in blocks(batch):
@@ -162,17 +165,17 @@ def search_index(index: DataFrame, items: DataFrame, slop: int = 0, window: int
     for part in _parts(items):
         sent = spark.sparkContext.broadcast(_phrases(part, window))
 
+        @lean()
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     v = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in batch.schema.names}
                     block = Index(v["terms"].view(np.uint64), v["lists"].astype(np.int64), v["positions"].astype(np.int64), v["bounds"].astype(np.int64))
                     for p in sent.value:
-                        which, start = search(block, p, slop)
+                        which, start, doc = search(block, p, slop)
                         n = np.diff(p.begin)[which]
                         pick = np.repeat(p.begin[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        start = np.repeat(start, n)
-                        doc = np.searchsorted(block.bounds, start, "right") - 1
+                        start, doc = np.repeat(start, n), np.repeat(doc, n)
                         yield pa.record_batch({"doc_id": v["doc_ids"][doc], "item_id": p.items[pick].astype(np.int64), "start": start - block.bounds[doc], "n_words": np.full(len(doc), p.terms.shape[1], np.int64)})
 
         found = index.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, n_words bigint")
@@ -230,6 +233,7 @@ def _parts_broadcast(spark, items: DataFrame, window: int) -> Iterator:
 
 
 def _hit_rows(part, slop: int, last: bool):
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, vocabulary = part.value if part is not None else ([], np.zeros(0, np.uint64))
         for batch in batches:
@@ -246,9 +250,8 @@ def _hit_block(rows: pa.RecordBatch, data, off, phrases, vocabulary, slop: int,
     edge = np.zeros(len(words) + 1, np.int64)
     of, item = [], []
     for p in phrases:
-        which, start = search(index, p, slop)
+        which, start, doc = search(index, p, slop)
         length = p.terms.shape[1]
-        doc = np.searchsorted(bounds, start, "right") - 1
         low = np.maximum(start - slop, bounds[doc]) if slop else start
         high = np.minimum(start + length + slop, bounds[doc + 1]) if slop else start + length
         np.add.at(edge, low, 1)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import cut
 from .textblocks import ALNUM, blocks, flat, mix, shingles, word_hashes, word_spans
+from .workers import lean
 
 WORDS = 5
 SIMILAR = 0.8
@@ -81,6 +82,7 @@ def _digests(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 FIRST_SCHEMA = "doc_id bigint, d1 bigint, d2 bigint, n_words bigint, slot int, n bigint"
 
 
+@lean()
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(1 << SLOT_BITS, np.int64)
     shift = np.uint64(64 - SLOT_BITS)
@@ -172,6 +174,7 @@ class Sampler:
 
 
 def _bands_pass(sent):
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, log_idf = Sampler(), sent.value
         for batch in batches:
@@ -191,6 +194,7 @@ def _bands_pass(sent):
 def _similarity_pass(sent):
     """Exact weighted Jaccard similarity of the texts of each row."""
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_idf = sent.value
         for batch in batches:
@@ -216,6 +220,7 @@ def _similarity_pass(sent):
 def _prefix_pass(sent, threshold: float):
     """Node, shingle and total weight for the shingles of each text's prefix."""
 
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_idf = sent.value
         for batch in batches:

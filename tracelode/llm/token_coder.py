@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from .scratch import cut, fresh_path
 from .textblocks import blocks
 from .wordpieces import encoder
+from .workers import lean
 
 MAGIC = b"TLCM1\0\0\0"
 BLOCK_IDS = 8192
-FILE_IDS = 6_000_000
+FILE_IDS = 5_000_000
 _H2, _H1 = 12, 11
 _LOW32 = np.uint64(0xFFFFFFFF)
 _S24, _S32 = np.uint64(24), np.uint64(32)
@@ -145,7 +146,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     n = -(-total // BLOCK_IDS)
     longest = min(total, BLOCK_IDS)
     tail = total - (n - 1) * BLOCK_IDS
-    grid = np.zeros((longest, n), np.int64)
+    grid = np.zeros((longest, n), np.int32)
     grid[:, : n - 1] = ids[: (n - 1) * BLOCK_IDS].reshape(n - 1, -1).T if n > 1 else 0
     grid[:tail, n - 1] = ids[(n - 1) * BLOCK_IDS :]
     k = _classes(vocabulary)
@@ -156,7 +157,7 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
             if _due(t):
                 lanes.rebuild()
             m = n if t < tail else n - 1
-            x = grid[t, :m]
+            x = grid[t, :m].astype(np.int64)
             seen = lanes.predict(m)
             s1, s2, w2, w1, rest = seen[4], seen[5], seen[9], seen[10], seen[11]
             hit2 = s2 == x
@@ -278,6 +279,7 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, vocabulary: int):
+    @lean("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         pid, attempt = task.partitionId(), task.taskAttemptId()
@@ -311,6 +313,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, vocabulary: int):
     return run
 
 
+@lean()
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .scratch import cut, fresh_path
 from .textblocks import blocks
 from .wordpieces import encoder
+from .workers import lean
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens bigint"
 
@@ -37,6 +38,7 @@ def unchanged(text: Column) -> Column:
 
 
 def _count(path: str):
+    @lean("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in blocks(batch, most=4 << 20):

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textblocks import ALNUM, blocks, mix
+from .workers import lean
 
 LENGTH = 3
 DECAY = 0.6
@@ -401,9 +402,10 @@ def _evidence(tox: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
 
 
 def _score_rows(sent, names: list[str]):
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in blocks(batch, most=4 << 20):
+            for part, data, off in blocks(batch, most=2 << 20):
                 score = pa.array(sent.value.scores(data, off), pa.float64())
                 yield pa.record_batch({n: score if n == "__score" else part.column(n) for n in names})
 

@@ -17,6 +17,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .workers import on_leave
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
 _LETTER = np.zeros(256, bool)
@@ -49,7 +51,7 @@ def drops_space(spec: dict) -> bool:
 class Encoder:
     """Ids of texts, in blocks; remembers the first ``most`` distinct pieces that it meets."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -165,6 +167,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+on_leave("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
