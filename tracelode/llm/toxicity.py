@@ -11,8 +11,8 @@ labelled rows; scoring sees every word of every text.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +139,37 @@ def similarities(words: pa.Array, landmarks: list[bytes]) -> np.ndarray:
     return np.minimum(out, 1.0) ** POWER
 
 
-def text_vectors(data: np.ndarray, off: np.ndarray, landmarks: list[bytes]) -> np.ndarray:
+class Memo:
+    """Similarities of the first ``most`` distinct words that a task meets, so that common words are compared once."""
+
+    def __init__(self, most: int = 150_000):
+        self.most, self.seen = most, {}
+        self.table: np.ndarray | None = None
+
+    def similarities(self, words: pa.Array, landmarks: list[bytes]) -> np.ndarray:
+        keys = words.to_pylist()
+        place = np.fromiter((self.seen.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        found = similarities(words.take(pa.array(new)), landmarks)
+        if self.table is None:
+            self.table = np.zeros((self.most, len(landmarks)), np.float32)
+        out = self.table[np.maximum(place, 0)]
+        out[new] = found
+        begin = len(self.seen)
+        room = min(self.most - begin, len(new))
+        self.table[begin : begin + room] = found[:room]
+        self.seen.update((keys[i], begin + k) for k, i in enumerate(new[:room].tolist()))
+        return out
+
+
+def text_vectors(data: np.ndarray, off: np.ndarray, landmarks: list[bytes], memo: Memo | None = None) -> np.ndarray:
     """Greatest similarity of any word of each row to each landmark."""
     words, row = units(data, off)
     out = np.zeros((len(off) - 1, len(landmarks)), np.float32)
     if not len(words):
         return out
     coded = words.dictionary_encode()
-    known = similarities(coded.dictionary, landmarks)
+    known = memo.similarities(coded.dictionary, landmarks) if memo else similarities(coded.dictionary, landmarks)
     index = coded.indices.to_numpy(zero_copy_only=False)
     has, begin = np.unique(row, return_index=True)
     for j in range(len(landmarks)):
@@ -154,21 +177,21 @@ def text_vectors(data: np.ndarray, off: np.ndarray, landmarks: list[bytes]) -> n
     return out
 
 
-@dataclass
+@dataclasses.dataclass
 class Model:
     """Without landmarks every text gets ``prior``."""
 
     prior: float = 0.0
-    landmarks: list[bytes] = field(default_factory=list)
+    landmarks: list[bytes] = dataclasses.field(default_factory=list)
     nystroem: np.ndarray | None = None
     weights: np.ndarray | None = None
     bias: float = 0.0
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def scores(self, data: np.ndarray, off: np.ndarray, memo: Memo | None = None) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(off) - 1, self.prior)
-        margin = _coordinates(text_vectors(data, off, self.landmarks), self.nystroem) @ self.weights + self.bias
+        margin = _coordinates(text_vectors(data, off, self.landmarks, memo), self.nystroem) @ self.weights + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -40, 40)))
 
 
@@ -404,9 +427,10 @@ def _evidence(tox: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
 def _score_rows(sent, names: list[str]):
     @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         for batch in batches:
             for part, data, off in blocks(batch, most=2 << 20):
-                score = pa.array(sent.value.scores(data, off), pa.float64())
+                score = pa.array(sent.value.scores(data, off, memo), pa.float64())
                 yield pa.record_batch({n: score if n == "__score" else part.column(n) for n in names})
 
     return run
