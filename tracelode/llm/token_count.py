@@ -68,6 +68,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, norm
     counted = texts.mapInArrow(_count(tokenizer), "digest binary, n_tokens bigint").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(path)
     stored = _cache(spark, path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join has no aggregate under it and Spark may split the partition of a digest with many copies.
+    stored = cut(stored, "token-stored")
     return keyed.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
