@@ -129,20 +129,22 @@ def outlier_flags(counts: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF,
     whole = by_lang.where("lang_own is null").agg(F.coalesce(F.sum("pool"), F.lit(0)).alias("rest"))
     groups = sizes.withColumnRenamed("lang", "gl").join(by_lang.select(F.col("lang").alias("bl"), "lang_own"), F.col("gl").eqNullSafe(F.col("bl")), "left").crossJoin(F.broadcast(whole))
     groups = groups.select("gl", F.col("source").alias("gs"), F.coalesce("own", "lang_own", F.when(F.col("rest") >= least_group, F.lit("*"))).alias("grp"))
-    groups = cut(groups, "quality-groups")
+    # Tables of one row per group are one file each, whose size Spark checks before it sends them.
+    groups = cut(groups.repartition(1), "quality-groups")
     rows = cut(table.join(groups, table["lang"].eqNullSafe(groups["gl"]) & table["source"].eqNullSafe(groups["gs"]), "left").drop("gl", "gs"), "quality-rows")
 
     fit = rows.where(~F.col("base_failed") & F.col("grp").isNotNull())
     # Start: medians and absolute deviations, which half of the rows can't move.
     accuracy = F.lit(2000)
     centre = fit.groupBy("grp").agg(*[F.percentile_approx(z, F.lit(0.5), accuracy).alias(f"m{i}") for i, z in enumerate(STATS)])
+    centre = cut(centre.repartition(1), "quality-centre")
     spread = fit.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(4)], *[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), F.lit(0.5), accuracy).alias(f"d{i}") for i, z in enumerate(STATS)])
     shape = [(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i, 4)]
-    now = cut(spread.select("grp", *[f"m{i}" for i in range(4)], *shape), "quality-fit")
+    now = cut(spread.select("grp", *[f"m{i}" for i in range(4)], *shape).repartition(1), "quality-fit")
     for _ in range(steps):
         far = fit.join(now, "grp").select("grp", *STATS, _distance().alias("d2"))
-        edge = far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(SUPPORT), accuracy).alias("edge"))
-        now = cut(far.join(edge, "grp").where("d2 <= edge").groupBy("grp").agg(*_moments(CONSISTENCY)), "quality-fit")
+        edge = cut(far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(SUPPORT), accuracy).alias("edge")).repartition(1), "quality-edge")
+        now = cut(far.join(edge, "grp").where("d2 <= edge").groupBy("grp").agg(*_moments(CONSISTENCY)).repartition(1), "quality-fit")
     out = rows.join(now, "grp", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select(*table.columns, "distance", kept.alias("kept"))
