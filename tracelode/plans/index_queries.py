@@ -227,7 +227,7 @@ def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     diff = F.concat(F.lit("--- a/o/"), key, F.lit(".txt\n+++ b/o/"), key, F.lit(".txt\n@@ -1,2 +1,3 @@ head\n a\n+"), F.col("o_orderstatus"), F.lit("\n-b\n+c\n"))
     return diffs.diff_hunks(o.select("o_orderkey", diff.alias("diff"))).select("o_orderkey", "path", "new_start", "new_length", F.array_join("added", ",").alias("added"), "removed_count")
