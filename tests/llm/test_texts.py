@@ -215,6 +215,29 @@ def test_shared_passages(spark):
     assert substring_dedup.shared_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_repeat_within_a_document_and_under_one_id(spark):
+    rng = random.Random(6)
+    passage, other, third, alone = (sentence(rng, 80) for _ in range(4))
+    within = " ".join([passage, *[f"{sentence(rng, 20)} {passage}" for _ in range(9)]])
+    rows = [(1, within), (2, other), (2, f"{sentence(rng, 30)} {other}"), (None, third), (None, third), (3, alone)]
+    docs = documents(spark, rows)
+    out = collections.defaultdict(list)
+    for r in substring_dedup.shared_passages(docs).collect():
+        out[r["doc_id"]].append(r)
+    one = out[1][0]
+    assert one["repeated"] and one["n_shared"] == one["shared_bytes"] == one["longest_shared"] == 0
+    assert 9 * (len(passage) - 150) < one["removed_bytes"] <= one["within_bytes"] < 9 * (len(passage) + 2)
+    for i in (2, None):
+        assert all(r["repeated"] and r["within_bytes"] == 0 for r in out[i])
+        assert min(r["removed_bytes"] for r in out[i]) == 0 and max(r["removed_bytes"] for r in out[i]) > 200
+    assert not out[3][0]["repeated"] and out[3][0]["within_bytes"] == 0
+    left = collections.defaultdict(list)
+    for r in substring_dedup.remove_passages(docs).collect():
+        left[r["doc_id"]].append(r["text"])
+    assert left[1][0].startswith(passage) and len(left[1][0]) == len(within) - one["removed_bytes"]
+    assert sorted(left[None]) == ["", third] and other in left[2] and left[3] == [alone]
+
+
 # op9
 
 
