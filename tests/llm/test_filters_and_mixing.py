@@ -54,6 +54,19 @@ def test_cascade_is_exact_over_its_universe(spark):
         url_filter.build_cascade(listed, universe, most_bytes=8)
 
 
+def test_rules_of_any_number_of_shapes(spark):
+    # 121 shapes: one more than two groups.
+    rules = [url_filter.Rule("block" if i % 3 else "allow", ["a.com", "b.a.com"][i % 2], "/" + "x" * i) for i in range(121)]
+    urls = [f"http://{h}/{'x' * i}{t}" for h in ("a.com", "b.a.com", "c.b.a.com", "other.org") for i in (0, 1, 2, 59, 60, 61, 62, 119, 120, 130) for t in ("", "y")]
+    got = {r["url"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert len({r.shape for r in rules}) == 121 and len(got) == len(urls)
+    for u in urls:
+        host, _, path = u[7:].partition("/")
+        fits = [r for r in rules if f".{host}".endswith(f".{r.host}") and f"/{path}".startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.key), r.shape[0]), default=None)
+        assert got[u] == ((best.key, best.action) if best else (None, "allow"))
+
+
 # op2
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import cut
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Shapes looked up in one step of the plan; further ones take further steps.
 _MAX_SHAPES = 60
 
 
@@ -170,15 +171,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
 
     Null urls and urls without ``://`` have an empty host and path. Repeated rows
     each get a verdict; other columns pass through, but for existing columns
-    with the four names, which are replaced. No rules: all rows get ``default``.
+    with the four names, which are replaced (``__best`` is reserved). No rules:
+    all rows get ``default``. Rules may have any number of shapes.
     """
     spark = pages.sparkSession
     by_key: dict[str, Rule] = {}
     for r in rules:
         by_key.setdefault(r.key, r)
     shapes = sorted({r.shape for r in by_key.values()})
-    if len(shapes) > _MAX_SHAPES:
-        raise ValueError(f"rules have {len(shapes)} shapes; at most {_MAX_SHAPES} are supported at once")
     host, path = url_parts(F.col(url))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
@@ -191,9 +191,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
     blocks = build_cascade(listed.where("action = 'block'"), listed, rate, most_bytes)
 
     is_member, is_block = _probe(member.levels, False), _probe(blocks.levels, False)
-    named = parts.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
-    hit = named.select("*", *[F.when(F.col(f"__k{i}").isNotNull() & is_member(*_safe(F.col(f"__k{i}"))), F.struct(F.length(f"__k{i}").alias("n"), F.lit(s[0]).alias("labels"), F.col(f"__k{i}").alias("key"))).alias(f"__s{i}") for i, s in enumerate(shapes)])
-    best = F.col("__s0") if len(shapes) == 1 else F.greatest(*[F.col(f"__s{i}") for i in range(len(shapes))])
+    hit, best = parts, None
+    for at in range(0, len(shapes), _MAX_SHAPES):
+        group = list(enumerate(shapes))[at : at + _MAX_SHAPES]
+        named = hit.select("*", *[keys[i].alias(f"__k{i}") for i, _ in group])
+        found = named.select("*", *[F.when(F.col(f"__k{i}").isNotNull() & is_member(*_safe(F.col(f"__k{i}"))), F.struct(F.length(f"__k{i}").alias("n"), F.lit(s[0]).alias("labels"), F.col(f"__k{i}").alias("key"))).alias(f"__s{i}") for i, s in group])
+        options = [*([] if best is None else [best]), *[F.col(f"__s{i}") for i, _ in group]]
+        best = F.col("__best")
+        hit = found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", (options[0] if len(options) == 1 else F.greatest(*options)).alias("__best"))
     out = hit.select(*[F.col(f"`{c}`") for c in kept], "host", "path", best["key"].alias("rule"))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(is_block(*_safe(F.col("rule"))), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("*", verdict.alias("verdict"))
