@@ -66,6 +66,10 @@ def test_ignore_rules():
     rules = globs.ignore_rules("# c\n*.log\n!keep.log\n/root.py\nbuild/\ndocs/**/x.py\n")
     ignored = lambda p: [not n for n, r in rules if re.match(r, p)][-1:] == [True]
     assert ignored("a/b.log") and not ignored("a/keep.log") and ignored("root.py") and not ignored("a/root.py")
+    rules = globs.ignore_rules("x[0-9].py\n[!a]z.py\nodd\\ name\nend\\ \n\\#lit\n")
+    assert ignored("x4.py") and not ignored("xa.py") and ignored("bz.py") and not ignored("az.py") and not ignored("a/z.py")
+    assert ignored("odd name") and ignored("end ") and ignored("#lit")
+    rules = globs.ignore_rules("# c\n*.log\n!keep.log\n/root.py\nbuild/\ndocs/**/x.py\n")
     assert ignored("a/build/z.py") and not ignored("build") and ignored("docs/a/b/x.py") and ignored("docs/x.py")
 
 
@@ -180,8 +184,34 @@ def test_meter(spark):
     usage = spark.createDataFrame([("tier", "large", 1234, 567), ("local", "x", 5, 5), ("tier", "large", -5, None)], "provider string, model string, input_tokens bigint, output_tokens bigint")
     rows = {r["input_tokens"]: r for r in meter.cost_line(meter.price_usage(usage, meter.price_table(spark))).collect()}
     assert rows[1234]["line"] == "1,234 in + 567 out tok | $0.0185 + $0.0425 = $0.0610 (tier:large)"
-    assert rows[5]["total_usd"] is None and rows[5]["line"] is None
+    assert rows[5]["total_usd"] == 0 and rows[5]["line"] == "5 in + 5 out tokens | no API cost (local:x)"
     assert rows[0]["line"].startswith("~0 in + ~500 out") and not rows[0]["exact"]
+    odd = spark.createDataFrame([("tier", "none", 100, 50, 7), ("TIER", "small", 999, None, 70)], "provider string, model string, input_tokens bigint, output_tokens bigint, estimated_input bigint")
+    rows = {r["model"]: r["line"] for r in meter.cost_line(meter.price_usage(odd, meter.price_table(spark))).collect()}
+    assert rows["none"] == "100 in + 50 out tokens | pricing unknown (tier:none)"
+    assert rows["small"].startswith("~70 in + ~500 out tok | $0.0001")
+    assert [r[0] for r in spark.createDataFrame([("abcdefgh",), (None,)], "x string").select(meter.token_count(F.col("x"), "no such encoding")).collect()] == [2, 0]
+
+
+def test_merging_keeps_one_row_per_key(spark, tmp_path):
+    row = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    out = incremental.upsert(row((1, "a"), (2, "b")), row((2, "c"), (2, "d"), (3, None)), "k")
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "d"), (3, None)]
+    t = incremental.VersionedTable(spark, str(tmp_path / "t"), "k", 4)
+    t.replace(row(*[(i, "x") for i in range(40)]))
+    before = set(t._pointer()["folders"])
+    assert t.upsert(row((7, "y"), (7, "z")), "k") == 1
+    assert len(before & set(t._pointer()["folders"])) == len(before) - 1  # one folder was rewritten
+    assert {r["k"]: r["v"] for r in t.read().collect()} == {i: "z" if i == 7 else "x" for i in range(40)}
+    assert t.delete(row(*[(i, "") for i in range(40)]), "k") == 40 and t.read().count() == 0 and t.read().columns == ["k", "v"]
+
+
+def test_odd_vectors_are_never_found(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.5, 0.5]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id bigint, q array<double>")
+    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in search.batch_nearest(v, q, 2).orderBy("rank").collect()] == [(1, 1, 1), (1, 6, 2)]
+    assert search.batch_nearest(v, q.limit(0)).count() == 0
+    assert [r["vec_id"] for r in search.nearest(v.where("vec_id <> 5"), q.where("query_id = 1")).orderBy("rank").collect()] == [1, 6, 4]
 
 
 def test_text_functions(spark):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import graph_queries, index_queries, search_queries
+from .plans import code_queries, graph_queries, index_queries, search_queries
 
-_MODULES = (search_queries, graph_queries, index_queries)
+_MODULES = (search_queries, graph_queries, index_queries, code_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

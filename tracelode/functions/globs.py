@@ -54,11 +54,14 @@ def ignore_rules(text: str) -> list[tuple[bool, str]]:
     """(negated, regex) of each line of an ignore file; later lines win."""
     rules = []
     for line in text.splitlines():
-        line = line.rstrip("\n").rstrip()
+        line = line.rstrip("\n")
+        bare = line.rstrip()
+        # A space after a backslash belongs to the name.
+        line = bare + " " if bare.endswith("\\") and not bare.endswith("\\\\") and line != bare else bare
         if not line or line.startswith("#"):
             continue
         negated = line.startswith("!")
-        line = line[1:] if negated else line.removeprefix("\\")
+        line = line[1:] if negated else line
         only_dirs = line.endswith("/")
         line = line.strip("/") if only_dirs else line
         rooted = "/" in line.rstrip("/")
@@ -77,6 +80,14 @@ def ignore_rules(text: str) -> list[tuple[bool, str]]:
             elif line[i] == "?":
                 out.append("[^/]")
                 i += 1
+            elif line[i] == "\\" and i + 1 < len(line):
+                out.append(re.escape(line[i + 1]))
+                i += 2
+            elif line[i] == "[" and (end := line.find("]", i + 2 + line.startswith(("!", "^"), i + 1))) > 0:
+                inner = line[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+                negative = inner[:1] in ("!", "^")
+                out.append(f"(?!/)[{'^' if negative else ''}{inner[negative:]}]")
+                i = end + 1
             else:
                 out.append(re.escape(line[i]))
                 i += 1

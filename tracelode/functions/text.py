@@ -81,9 +81,10 @@ def query_terms(question: Column) -> Column:
 def lexical_score(terms: Column, name: Column, path: Column, body: Column) -> Column:
     """Per term: 3 if it is a token of the name, else 2 of the path, else 0.5 if the body's start has it."""
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    in_name, in_path, start = tokens(name), tokens(path), F.lower(F.substring(body, 1, PROMPT_CODE_CAP))
-    value = lambda t: F.when(F.array_contains(in_name, t), 3.0).when(F.array_contains(in_path, t), 2.0).when(F.contains(start, t), 0.5).otherwise(0.0)
-    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + value(t))
+    parts = F.struct(tokens(name).alias("name"), tokens(path).alias("path"), F.lower(F.substring(body, 1, PROMPT_CODE_CAP)).alias("start"))
+    value = lambda s, t: F.when(F.array_contains(s["name"], t), 3.0).when(F.array_contains(s["path"], t), 2.0).when(F.contains(s["start"], t), 0.5).otherwise(0.0)
+    # The one-element array binds the tokens to a name, so that they are made once a row and not once a term.
+    return F.get(F.transform(F.array(parts), lambda s: F.aggregate(terms, F.lit(0.0), lambda a, t: a + value(s, t))), 0)
 
 
 def slug(label: Column) -> Column:

@@ -29,12 +29,18 @@ def file_id(path: Column) -> Column:
 
 
 def contains_edges(chunks: DataFrame) -> DataFrame:
-    """File or enclosing chunk to chunk: the parent is the latest earlier chunk of that name in the file."""
-    c = chunks.select(F.col("chunk_id").alias("dst"), "file_relpath", "parent", "emit_seq")
-    p = chunks.select(F.col("chunk_id").alias("pid"), F.col("file_relpath").alias("pfile"), F.col("qualified_name").alias("pname"), F.col("emit_seq").alias("pseq"))
-    near = c.join(p, (c["file_relpath"] == p["pfile"]) & (c["parent"] == p["pname"]) & (p["pseq"] < c["emit_seq"]), "left")
-    best = near.groupBy("dst", "file_relpath").agg(F.max_by("pid", "pseq").alias("pid"))
-    return best.select(F.coalesce("pid", file_id(F.col("file_relpath"))).alias("src"), "dst", F.lit("contains").alias("kind"), F.lit(1.0).alias("weight"))
+    """File or enclosing chunk to chunk: the parent is the latest earlier chunk of that name in the file.
+
+    Names and look-ups go through one window per file and name, so the work is
+    linear in the chunks however often a name occurs.
+    """
+    at = F.col("emit_seq")
+    names = chunks.where(F.col("qualified_name").isNotNull()).select("file_relpath", F.col("qualified_name").alias("key"), at.alias("at"), F.lit(1).alias("turn"), F.col("chunk_id").alias("pid"), F.lit(None).cast("string").alias("dst"))
+    asks = chunks.where(F.col("parent").isNotNull()).select("file_relpath", F.col("parent").alias("key"), at.alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("string").alias("pid"), F.col("chunk_id").alias("dst"))
+    order = Window.partitionBy("file_relpath", "key").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = names.unionByName(asks).withColumn("near", F.last("pid", ignorenulls=True).over(order)).where("turn = 0").select("file_relpath", "dst", "near")
+    alone = chunks.where(F.col("parent").isNull()).select("file_relpath", F.col("chunk_id").alias("dst"), F.lit(None).cast("string").alias("near"))
+    return found.unionByName(alone).select(F.coalesce("near", file_id(F.col("file_relpath"))).alias("src"), "dst", F.lit("contains").alias("kind"), F.lit(1.0).alias("weight"))
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
@@ -80,18 +86,34 @@ def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return hit.select("importer", "target", dst.alias("resolved"), F.when(found, 0.5).otherwise(0.3).alias("weight"))
 
 
+def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
+    """One node per id: the first in the order counts, and what it lacks comes from the next that has it."""
+    rest = [c for c in nodes.columns if c not in ("id", order)]
+    tie = F.struct(order, *rest)
+    return nodes.groupBy("id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), tie)).alias(c) for c in rest])
+
+
+def incident_edges(edges: DataFrame, ids: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """``direction, of, node, kind`` of the edges out of and into the ids (column ``node``)."""
+    used = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+    of = ids.select(F.col("node").alias("of")).distinct()
+    out = used.join(of, used["src"] == of["of"]).select(F.lit("out").alias("direction"), "of", F.col("dst").alias("node"), "kind")
+    return out.unionByName(used.join(of, used["dst"] == of["of"]).select(F.lit("in").alias("direction"), "of", F.col("src").alias("node"), "kind"))
+
+
 def build_graph(files: DataFrame, chunks: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables of a repository."""
     none = F.lit(None).cast("string")
     base = F.substring_index("relpath", "/", -1)
     no_line = F.lit(None).cast("int")
     file_nodes = files.select(file_id(F.col("relpath")).alias("id"), F.lit("file").alias("kind"), base.alias("name"), F.col("relpath").alias("qualified_name"), "language", F.col("relpath").alias("file_relpath"), no_line.alias("start_line"), no_line.alias("end_line"), none.alias("signature"), "sha")
-    chunk_nodes = chunks.select(F.col("chunk_id").alias("id"), "kind", "name", "qualified_name", "language", "file_relpath", "start_line", "end_line", "signature", F.col("file_sha").alias("sha"))
+    chunk_nodes = chunks.select(F.col("chunk_id").alias("id"), "kind", "name", "qualified_name", "language", "file_relpath", "start_line", "end_line", "signature", F.col("file_sha").alias("sha"), F.col("emit_seq").cast("int").alias("turn"))
     resolved = resolve_imports(import_candidates(imports), files)
     module = F.col("resolved").startswith("module:")
     modules = resolved.where(module).select("resolved", "target").distinct()
     module_nodes = modules.select(F.col("resolved").alias("id"), F.lit("module").alias("kind"), F.col("target").alias("name"), F.col("target").alias("qualified_name"), none.alias("language"), none.alias("file_relpath"), no_line.alias("start_line"), no_line.alias("end_line"), none.alias("signature"), none.alias("sha"))
-    nodes = file_nodes.unionByName(chunk_nodes).unionByName(module_nodes).dropDuplicates(["id"])
+    emitted = [file_nodes.withColumn("turn", F.lit(-1)), chunk_nodes, module_nodes.withColumn("turn", F.lit(1 << 30))]
+    nodes = merge_nodes(reduce(DataFrame.unionByName, emitted), "turn")
     import_edges = resolved.select(file_id(F.col("importer")).alias("src"), F.col("resolved").alias("dst"), F.lit("imports").alias("kind"), "weight")
     edges = reduce(DataFrame.unionByName, [contains_edges(chunks), import_edges, call_edges(chunks), implements_edges(chunks)])
     return nodes, clean_edges(edges, nodes)
@@ -178,19 +200,31 @@ def expand(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, most: int = 8,
     best = all_.where("depth > 0").groupBy("node").agg(F.min(F.struct("depth", "seed_rank", "seed", "seed_score")).alias("b"))
     best = best.join(seeds.select("node"), "node", "left_anti")
     best = best.join(nodes.where(~F.col("kind").isin("file", "module")).select(F.col("id").alias("node")), "node", "left_semi")
-    direct = used.groupBy(F.col("here").alias("seed"), F.col("there").alias("node")).agg(F.min("kind").alias("edge"))
-    out = best.select("node", "b.*").join(direct, ["seed", "node"], "left")
-    score = F.round(F.col("seed_score") * F.pow(F.lit(DECAY), F.col("depth")), 4)
-    return out.select("node", F.col("seed").alias("via"), "edge", F.col("depth").cast("bigint").alias("depth"), score.alias("score")).orderBy(F.desc("score"), "node").limit(most)
+    score = F.round(F.col("b.seed_score") * F.pow(F.lit(DECAY), F.col("b.depth")), 4)
+    best = best.select("node", F.col("b.seed").alias("via"), F.col("b.depth").cast("bigint").alias("depth"), score.alias("score"))
+    best = best.orderBy(F.desc("score"), "node").limit(most)
+    # Edges are labelled for the few nodes that are left, not for the whole graph.
+    label = used.join(F.broadcast(best.select(F.col("via").alias("here"), F.col("node").alias("there"))), ["here", "there"]).groupBy("here", "there").agg(F.min("kind").alias("edge"))
+    out = best.join(label, (best["via"] == label["here"]) & (best["node"] == label["there"]), "left")
+    return out.select("node", "via", "edge", "depth", "score").orderBy(F.desc("score"), "node")
+
+
+def augment(hits: DataFrame, extra: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits followed by what the graph adds: chunk columns of ``hits`` with ``source, via, edge, depth``.
+
+    ``extra`` is what ``expand`` gave; additions without a chunk and chunks that
+    are hits already are left out. Ranks go on after the last hit.
+    """
+    none = F.lit(None).cast("string")
+    mine = hits.withColumns({"source": F.lit("vector"), "via": none, "edge": none, "depth": F.lit(0).cast("bigint")})
+    last = F.broadcast(hits.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("__last")))
+    new = extra.join(hits.select(F.col("chunk_id").alias("node")), "node", "left_anti").withColumnRenamed("node", "chunk_id")
+    order = Window.orderBy(F.desc("score"), "chunk_id")
+    found = chunks.drop("score").join(new, "chunk_id").join(last).withColumns({"rank": (F.row_number().over(order) + F.col("__last")).cast("bigint"), "source": F.lit("graph")}).drop("__last")
+    return mine.unionByName(found.select(*[c for c in found.columns if c in mine.columns]), allowMissingColumns=True)
 
 
 def located(affected: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds a citation: the lines of a chunk, or the bare file."""
     place = F.when(F.col("start_line").isNotNull(), citation(F.col("file_relpath"), F.col("start_line"), F.col("end_line"))).otherwise(F.col("file_relpath"))
     return affected.join(nodes.select(F.col("id").alias("node"), "qualified_name", place.alias("citation")), "node", "left")
-
-
-def latest_by_name(chunks: DataFrame) -> DataFrame:
-    """The chunk each qualified name of a file stands for: the last one emitted."""
-    order = Window.partitionBy("file_relpath", "qualified_name").orderBy(F.desc("emit_seq"))
-    return chunks.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")

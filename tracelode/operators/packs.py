@@ -27,11 +27,6 @@ def tag_paths(paths: DataFrame, packs: list[tuple[str, list[str]]], path: str =
     return paths.withColumn(out, tags)
 
 
-def tag_paths_joined(paths: DataFrame, packs: DataFrame, path: str = "relpath") -> DataFrame:
-    """The same for a pack table (``id, regex``) that is too large for a projection: ``<path>, pack``."""
-    return paths.join(packs, F.expr(f"{path} rlike regex")).select(path, F.col("id").alias("pack"))
-
-
 def suggest(chunks: DataFrame, path: str = "file_relpath", size: str = "n_chars", least: int = LEAST_CHUNKS, most: int = MOST_PACKS, rebucket_at: int = REBUCKET_AT) -> DataFrame:
     """Packs by directory: ``pack_id, label, scope, chunk_count, token_estimate``.
 
@@ -40,17 +35,51 @@ def suggest(chunks: DataFrame, path: str = "file_relpath", size: str = "n_chars"
     aggregate, then a join with the few group sizes, so a directory with a third
     of all chunks is not gathered.
     """
-    parts = F.split(path, "/")
-    base = chunks.where(F.size(parts) >= 2).select(F.get(parts, 0).alias("top1"), F.concat_ws("/", F.get(parts, 0), F.get(parts, 1)).alias("top2"), F.col(size).alias("n"))
-    fine = base.groupBy("top1", "top2").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    total = F.sum("c").over(Window.partitionBy("top1"))
-    keyed = fine.withColumn("key", F.when(total > rebucket_at, F.col("top2")).otherwise(F.col("top1")))
-    groups = keyed.groupBy("key").agg(F.sum("c").alias("chunk_count"), F.sum("n").alias("n")).where(F.col("chunk_count") >= least)
+    fine = _fine(chunks, path, size, rebucket_at)
+    groups = fine.groupBy("key").agg(F.sum("c").alias("chunk_count"), F.sum("n").alias("n")).where(F.col("chunk_count") >= least)
     label = humanise(F.replace(F.col("key"), F.lit("/"), F.lit(" / ")))
     out = groups.select(slug(F.col("key")).alias("pack_id"), label.alias("label"), F.concat("key", F.lit("/**")).alias("scope"), "chunk_count", F.greatest(F.lit(1), F.floor(F.col("n") / 4)).cast("bigint").alias("token_estimate"))
     return out.orderBy(F.desc("chunk_count"), "label").limit(most)
 
 
+def _tops(path: str) -> tuple:
+    parts = F.split(path, "/")
+    return F.get(parts, 0).alias("top1"), F.concat_ws("/", F.get(parts, 0), F.get(parts, 1)).alias("top2")
+
+
+def _fine(chunks: DataFrame, path: str, size: str, rebucket_at: int) -> DataFrame:
+    """``top1, top2, c, n, key``: counts by the first two segments and the group that they belong to."""
+    base = chunks.where(F.size(F.split(path, "/")) >= 2).select(*_tops(path), F.col(size).alias("n"))
+    fine = base.groupBy("top1", "top2").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    total = F.sum("c").over(Window.partitionBy("top1"))
+    return fine.withColumn("key", F.when(total > rebucket_at, F.col("top2")).otherwise(F.col("top1")))
+
+
+def statistics(chunks: DataFrame, path: str = "file_relpath", size: str = "n_chars", name: str = "name", language: str = "language", rebucket_at: int = REBUCKET_AT, shown: int = 5) -> DataFrame:
+    """What the groups of ``suggest`` hold: ``scope, n_files, top_files, top_names, top_language, summary``.
+
+    The most frequent files and names, ``shown`` of each (ties by name), and the
+    most frequent language. Every list is a count per value, then a rank within
+    the group, so only one row per distinct value is ranked.
+    """
+    keys = _fine(chunks, path, size, rebucket_at).select("top1", "top2", "key", "c")
+    base = chunks.where(F.size(F.split(path, "/")) >= 2).select(*_tops(path), F.col(path).alias("file"), F.col(name).alias("name"), F.coalesce(language, F.lit("code")).alias("language"))
+
+    def leading(column: str, k: int) -> DataFrame:
+        """The k most frequent values of a column per group, and how many values there are."""
+        n = base.groupBy("top1", "top2", column).agg(F.count("*").alias("c")).join(keys.drop("c"), ["top1", "top2"]).groupBy("key", column).agg(F.sum("c").alias("c"))
+        values = n.groupBy("key").agg(F.count("*").alias(f"n_{column}"))
+        order = Window.partitionBy("key").orderBy(F.desc("c"), column)
+        best = n.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", column))).alias("x"))
+        return best.join(values, "key").select("key", F.col(f"x.{column}").alias(f"top_{column}"), f"n_{column}")
+
+    total = keys.groupBy("key").agg(F.sum("c").alias("chunk_count"))
+    out = total.join(leading("file", shown), "key").join(leading("name", shown), "key").join(leading("language", 1), "key")
+    top = F.get("top_language", 0)
+    summary = F.format_string("%d chunks across %d files in %s/ (%s).", "chunk_count", "n_file", "key", top)
+    return out.select(F.concat("key", F.lit("/**")).alias("scope"), F.col("n_file").alias("n_files"), F.col("top_file").alias("top_files"), F.col("top_name").alias("top_names"), top.alias("top_language"), summary.alias("summary"))
+
+
 def upsert_packs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same id."""
     return old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)

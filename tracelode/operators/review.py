@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lenient_json
-from ..schemas import CATEGORIES, FINDING, SEVERITY_RANK
+from ..schemas import CATEGORIES, SEVERITY_RANK
 from .intervals import overlap
 
 MOST_CONTAINING = 16
@@ -82,6 +82,24 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n")).orderBy(F.desc(rank_of(F.col("severity"))))
 
 
+def file_counts(hunks: DataFrame, answered: DataFrame) -> DataFrame:
+    """One row ``files, files_reviewed, files_skipped``: files of a diff, and those with an answer (``path``)."""
+    files = hunks.select("path").distinct().join(answered.select("path", F.lit(1).alias("__a")).distinct(), "path", "left")
+    return files.agg(F.count("*").alias("files"), F.count("__a").alias("files_reviewed"), F.count_if(F.col("__a").isNull()).alias("files_skipped"))
+
+
+FINDINGS_SCHEMA = {
+    "type": "object", "required": ["findings"],
+    "properties": {"findings": {"type": "array", "items": {
+        "type": "object", "required": ["file", "line", "severity", "message"],
+        "properties": {
+            "file": {"type": "string"}, "line": {"type": "integer"}, "end_line": {"type": "integer"}, "severity": {"enum": list(SEVERITY_RANK)},
+            "category": {"enum": list(CATEGORIES)}, "message": {"type": "string"}, "fix": {"type": "string"}, "confidence": {"type": "number"},
+        },
+    }}},
+}
+
+
 def ask_prompt(hits: DataFrame, question: Column) -> DataFrame:
     """``query_id, prompt``: numbered citations with capped code, then the question (hits carry ``rank``)."""
     code = F.when(F.length("code") > 2000, F.concat(F.substring("code", 1, 2000), F.lit("\n… (truncated)"))).otherwise(F.col("code"))
@@ -110,6 +128,3 @@ def review_prompt(hunks: DataFrame, context: DataFrame, neighbours: DataFrame |
         F.concat(F.lit("## Enclosing code\n"), "inside"), F.concat(F.lit("## Related code\n"), "near"), F.lit("Report findings on added lines only, as JSON."),
     )
     return out.select("path", sections.alias("prompt"))
-
-
-FINDING_SCHEMA = FINDING

@@ -37,10 +37,11 @@ def in_packs(packs: Column, wanted: list) -> Column:
 def nearest(vectors: DataFrame, query: DataFrame, k: int = TOP_K, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k vectors closest to the single row of ``query`` (column ``q``), ranked; ties by id.
 
-    A one-row side is the only thing sent; the rest is a scan with a top-k per task.
+    Null vectors and those without length are close to nothing and never found. A
+    one-row side is the only thing sent; the rest is a scan with a top-k per task.
     """
     one = query.limit(1).select(F.col("q"))
-    scored = vectors.join(F.broadcast(one)).withColumn("score", cosine(F.col(vector), F.col("q"))).drop("q", vector)
+    scored = vectors.join(F.broadcast(one)).withColumn("score", cosine(F.col(vector), F.col("q"))).where("score is not null").drop("q", vector)
     best = scored.orderBy(F.desc("score"), id).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id)).cast("bigint"))
 
@@ -49,41 +50,63 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id: st
     """``query_id, <id>, score, rank`` for every row of ``queries`` (``query_id, q``).
 
     Queries are collected in parts of bounded size; each part passes over the
-    vectors once with one matrix product per batch.
+    vectors once, a tile of queries against a batch of vectors at a time. Null
+    vectors, those without length and those of another size than the queries' are
+    found by no query, and such queries find nothing.
     """
-    total = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0] * 8
+    asked = queries.where(F.exists("q", lambda x: x != 0))
+    total = asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0] * 8
     parts = max(1, -(-int(total) // QUERY_BYTES))
     out = None
     for i in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "q").collect()
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", "q").collect()
         ids = np.array([r["query_id"] for r in rows], np.int64)
-        q = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30) if len(rows) else q
+        q = np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+        q = q / np.linalg.norm(q, axis=1, keepdims=True)
         sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
-        found = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(_best_of_batch(sent, k), "query_id bigint, id bigint, score double")
+        usable = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vector).alias("v")).where((F.size("v") == q.shape[1]) & F.exists("v", lambda x: x != 0))
+        found = usable.mapInArrow(_best_of_batch(sent, k), "query_id bigint, id bigint, score double")
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = out.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
     return ranked.withColumnRenamed("id", id)
 
 
+#: Scores that a task holds at once: queries of a tile times vectors of a batch.
+TILE = 1 << 21
+
+
+def _best(row: np.ndarray, key: np.ndarray, score: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every row, greatest score first, ties by key."""
+    order = np.lexsort((key, -score, row))
+    row, key, score = row[order], key[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(n_rows))[row]
+    keep = place < k
+    return row[keep], key[keep], score[keep]
+
+
 def _best_of_batch(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
-        held_ids = np.zeros((len(ids), 0), np.int64)
-        held = np.zeros((len(ids), 0))
+        n = len(ids)
+        row, key, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
-            if not len(ids) or not batch.num_rows:
+            if not n or not batch.num_rows:
                 continue
             v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            held_ids = np.concatenate([held_ids, np.broadcast_to(key, (len(ids), len(key)))], axis=1)
-            held = np.concatenate([held, q @ v.T], axis=1)
-            order = np.lexsort((held_ids, -held), axis=1)[:, :k]
-            held_ids, held = np.take_along_axis(held_ids, order, 1), np.take_along_axis(held, order, 1)
-        if held.size:
-            yield pa.record_batch({"query_id": np.repeat(ids, held.shape[1]), "id": held_ids.ravel(), "score": held.ravel()})
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            step = max(1, TILE // len(v))
+            more = [(row, key, score)]
+            for lo in range(0, n, step):
+                s = q[lo : lo + step] @ v.T
+                # Only what reaches the k-th score of its row, ties included, is ordered.
+                edge = np.partition(s, len(v) - k, axis=1)[:, [len(v) - k]] if len(v) > k else np.full((len(s), 1), -np.inf)
+                i, j = np.nonzero(s >= edge)
+                more.append((i + lo, names[j], s[i, j]))
+            row, key, score = _best(*(np.concatenate(x) for x in zip(*more, strict=True)), n, k)
+        if len(row):
+            yield pa.record_batch({"query_id": ids[row], "id": key, "score": score})
 
     return run
 
@@ -106,8 +129,14 @@ def fuse_ranks(pool: DataFrame, k: int = TOP_K, partition: list[str] | None = No
     return ranked.where(F.col("rank") <= k).drop("__o")
 
 
-def neighbours(vectors: DataFrame, query: DataFrame, group: str, own_group: Column, k: int = 4) -> DataFrame:
-    """The first k of the 2k nearest that aren't in the query's own group: the filter comes after the limit."""
-    pool = nearest(vectors, query, 2 * k)
-    other = pool.where(F.col(group) != own_group)
-    return other.withColumn("rank", F.row_number().over(Window.orderBy("rank")).cast("bigint")).where(F.col("rank") <= k)
+def neighbours(vectors: DataFrame, queries: DataFrame, group: str, k: int = 4, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, <id>, score, rank`` of the first k among each query's 2k nearest that aren't of its own group.
+
+    ``queries`` has ``query_id, q, own``; the filter comes after the limit, so a
+    query may have fewer than k. A null group on either side differs from all.
+    """
+    pool = batch_nearest(vectors, queries.select("query_id", "q"), 2 * k, id, vector)
+    grouped = pool.join(vectors.select(F.col(id), F.col(group).alias("__g")), id).join(queries.select("query_id", "own"), "query_id")
+    other = grouped.where(F.coalesce(F.col("__g") != F.col("own"), F.lit(True)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint")
+    return other.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", id, "score", "rank")

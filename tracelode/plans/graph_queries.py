@@ -32,10 +32,7 @@ def graph_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbors_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = g.edges(spark, sf_dir)
-    out = e.where(F.col("src") == "n:1").select(F.lit("out").alias("direction"), F.col("dst").alias("node"), "kind")
-    into = e.where(F.col("dst") == "n:1").select(F.lit("in").alias("direction"), F.col("src").alias("node"), "kind")
-    return out.unionByName(into)
+    return graph.incident_edges(g.edges(spark, sf_dir), _starts(spark, "n:1")).select("direction", "node", "kind")
 
 
 def bfs_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +99,13 @@ def parent_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as files, lines as code: changed lines 2 to 3 of every seventh order hit the line items they overlap."""
+    """Orders as files, lines as code: changed lines 2 to 3 of every order hit the line items they overlap."""
     li = table(spark, sf_dir, "lineitem")
     path = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
     line = F.col("l_linenumber")
     code = li.select(F.concat_ws("/", path, line.cast("string")).alias("id"), F.lit("function").alias("kind"), path.alias("file_relpath"), line.alias("start_line"), (line + 1).alias("end_line"))
     files = li.select(path.alias("id"), F.lit("file").alias("kind"), path.alias("file_relpath"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line")).distinct()
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    orders = table(spark, sf_dir, "orders")
     ranges = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(2).alias("range_start"), F.lit(3).alias("range_end"))
     return graph.diff_targets(files.unionByName(code), ranges)
 
@@ -153,8 +150,8 @@ SQL = {
     "dedupe_edges": "select 'calls' as kind, count(*) as n from (select distinct l_orderkey, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders) and l_partkey in (select p_partkey from part))",
     "parent_asof": """select coalesce((select cast(max(p.event_id) as varchar) from events p where p.user_id = e.user_id and p.event_type = 'purchase' and p.event_id < e.event_id),
       'file:u' || e.user_id) as src, cast(e.event_id as varchar) as dst from events e""",
-    "diff_targets": """select distinct 'o' || l_orderkey as id from lineitem where l_orderkey % 7 = 0 and l_orderkey in (select o_orderkey from orders)
-      union all select distinct 'o' || l_orderkey || '/' || l_linenumber from lineitem where l_orderkey % 7 = 0 and l_linenumber <= 3 and l_linenumber + 1 >= 2 and l_orderkey in (select o_orderkey from orders)""",
+    "diff_targets": """select distinct 'o' || l_orderkey as id from lineitem where l_orderkey in (select o_orderkey from orders)
+      union all select distinct 'o' || l_orderkey || '/' || l_linenumber from lineitem where l_linenumber <= 3 and l_linenumber + 1 >= 2 and l_orderkey in (select o_orderkey from orders)""",
     "islands": """select l_orderkey, min(n) as range_start, max(n) as range_end from (select l_orderkey, n, n - row_number() over (partition by l_orderkey order by n) as run
       from (select distinct l_orderkey, cast(l_linenumber as bigint) as n from lineitem)) group by l_orderkey, run""",
 }

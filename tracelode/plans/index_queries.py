@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex
-from ..operators import graph, incremental, meter, packs, review
+from ..operators import incremental, meter, packs, review
 from ..operators.embedding import embed_column, hashing_embedder
 from ..operators.intervals import islands
 from ..sources import diffs, repo
@@ -107,8 +107,10 @@ def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir).select("relpath", "sha")
-    return incremental.upsert(_manifest(spark, sf_dir), f, "relpath").groupBy(F.col("sha").isin("x", _PRIOR_SHA).alias("stale")).agg(F.count("*").alias("n"))
+    """The manifest with all files merged in, every third of them twice: of repeated keys the greater digest stays."""
+    f = _files(spark, sf_dir)
+    new = f.select("relpath", "sha").unionByName(f.where("doc_id % 3 = 0").select("relpath", F.concat(F.lit("again-"), "relpath").alias("sha")))
+    return incremental.upsert(_manifest(spark, sf_dir), new, "relpath")
 
 
 def delete_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,26 +127,6 @@ def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where(repo.walk_filter(F.col("relpath"), F.col("length"))).select("page_id", "relpath")
 
 
-def _hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")).distinct()
-
-
-def import_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links as imports; targets of even length are files, so their first candidate resolves."""
-    h = _hrefs(spark, sf_dir)
-    imports = h.select(F.col("page_id").cast("string").alias("importer"), "target", F.array(F.col("target"), F.concat("target", F.lit(","))).alias("candidates"))
-    paths = h.where("length(target) % 2 = 0").select(F.col("target").alias("relpath"))
-    out = graph.resolve_imports(imports, paths)
-    return out.select(F.col("importer").cast("bigint").alias("page_id"), "target", "resolved", "weight")
-
-
-def call_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words as callees, without common names: distinct per document."""
-    noise = ["an", "in", "of", "the", "to"]
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
-    return words.where((F.col("name") != "") & ~F.col("name").isin(*noise)).groupBy("item_id").agg(F.countDistinct("name").alias("n"))
-
-
 def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     chunks = d.select("source", "doc_id", F.col("source").alias("path"), F.col("doc_id").alias("start_line"), (F.col("doc_id") + F.size(F.split("text", "\n")) - 1).alias("end_line"), F.col("doc_id").alias("chunk_id"))
@@ -202,30 +184,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
 
 
-# Not expressible in SQL: parsers over made-up sources. Tests hold them against goldens.
-
-
-def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python module per nation: a class with a method per supplier region, calling its neighbours."""
-    n = table(spark, sf_dir, "nation")
-    name = F.regexp_replace(F.lower("n_name"), "[^a-z]", "_")
-    text = F.format_string("import region_%s\nfrom . import base\n\nclass %s_store(Base):\n    def load(self):\n        return fetch_%s(self)\n\ndef fetch_%s(x):\n    return load(x)\n", F.col("n_regionkey").cast("string"), name, name, name)
-    content = text.cast("binary")
-    return n.select(F.concat(F.lit("pkg/"), name, F.lit(".py")).alias("relpath"), F.lit("python").alias("language"), F.octet_length(content).cast("bigint").alias("size_bytes"), F.sha1(content).alias("sha"), content.alias("content"))
-
-
-def py_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = repo.chunks_of(repo.parse_files(_sources(spark, sf_dir)))
-    return chunks.select("file_relpath", "qualified_name", "kind", "start_line", "end_line", F.array_join("calls", ",").alias("calls"), F.array_join("supers", ",").alias("supers"))
-
-
-def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _sources(spark, sf_dir)
-    parsed = repo.parse_files(files)
-    _, edges = graph.build_graph(files, repo.chunks_of(parsed), repo.imports_of(parsed))
-    return edges.groupBy("kind").agg(F.count("*").alias("n"))
-
-
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
@@ -252,7 +210,7 @@ _DIFF = f"{_FILES}, x as (select case when m.sha is null then 'new' when f.sha i
 _PACK = "pk as (select 'pack_' || lower(replace(n_name, ' ', '_')) as id, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as label, n_nationkey % 2 = 0 as auto from nation)"
 _FIND = "fi as (select doc_id, case when toxic = 1 then 'critical' when quality = 0 then 'medium' else 'info' end as severity from labels)"
 _REGEX_TITLE = "array_to_string(list_transform(string_split(translate(lower(label), '-_', '  '), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
-QUERIES = {f.__name__: f for f in (pack_suggest, pack_tag, retag, pack_list, pack_upsert, pack_delete_auto, active_packs, pack_status, pack_slugs, manifest_diff, index_stats, cache_hit_miss, upsert_merge, delete_by_file, scan_filter, import_resolve, call_noise, hunk_overlap, clamp_findings, findings_sorted, findings_by_sev, pr_payload, cost_estimate, prompt_tokens, event_windows, py_chunks, graph_build, diff_hunks, embed_documents)}
+QUERIES = {f.__name__: f for f in (pack_suggest, pack_tag, retag, pack_list, pack_upsert, pack_delete_auto, active_packs, pack_status, pack_slugs, manifest_diff, index_stats, cache_hit_miss, upsert_merge, delete_by_file, scan_filter, hunk_overlap, clamp_findings, findings_sorted, findings_by_sev, pr_payload, cost_estimate, prompt_tokens, event_windows, diff_hunks, embed_documents)}
 SQL = {
     "pack_suggest": f"""with {_PATHS}, p as (select string_split(path, '/') as s, n_chars from paths), q as (select s[1] as top1, s[1] || '/' || s[2] as top2, n_chars from p where len(s) >= 2),
       c as (select *, count(*) over (partition by top1) as t from q), k as (select case when t > 100 then top2 else top1 end as key, n_chars from c),
@@ -272,21 +230,20 @@ SQL = {
     "manifest_diff": f"with {_DIFF} select status, count(*) as n from x group by status",
     "index_stats": f"with {_DIFF} select count(*) filter (where status in ('new', 'changed')) as indexed, count(*) filter (where status = 'reused') as reused, count(*) filter (where status = 'gone') as gone, count(*) filter (where status in ('changed', 'gone')) as stale_deletes from x",
     "cache_hit_miss": f"with {_FILES} select case when sha in (select sha from f where lang = 'en') then 'hit' else 'miss' end as status, count(*) as n_texts, count(distinct sha) as n_distinct from f group by 1",
-    "upsert_merge": f"with {_FILES}, u as (select sha from m where relpath not in (select relpath from f) union all select sha from f) select sha in ('x', 'was-edited') as stale, count(*) as n from u group by 1",
+    "upsert_merge": f"with {_FILES}, n as (select relpath, sha from f union all select relpath, 'again-' || relpath from f where doc_id % 3 = 0) select relpath, sha from m where relpath not in (select relpath from f) union all select relpath, max(sha) from n group by relpath",
     "delete_by_file": f"with {_FILES} select doc_id, sha from f where lang <> 'de'",
     "scan_filter": """with p as (select page_id, ['src', 'node_modules/a', '.git', 'a/dist', 'lib/.hidden', 'a/b'][page_id % 6 + 1] || '/f' || page_id || case when page_id % 5 = 0 then '.md' else '.py' end as relpath,
       case when page_id % 11 = 0 then 0 when page_id % 13 = 0 then 2000000 else length(html) end as n from pages)
       select page_id, relpath from p where page_id % 6 in (0, 5) and page_id % 5 <> 0 and n > 0 and n <= 1500000""",
-    "import_resolve": """with h as (select distinct page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as target from pages), s as (select distinct target from h where length(target) % 2 = 0)
-      select page_id, target, case when target in (select target from s) then 'file:' || target when target || ',' in (select target from s) then 'file:' || target || ',' else 'module:' || target end as resolved,
-      case when target in (select target from s) or target || ',' in (select target from s) then 0.5::double else 0.3::double end as weight from h""",
-    "call_noise": "select item_id, count(distinct name) as n from (select item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) as name from benchmark) where name <> '' and name not in ('an', 'in', 'of', 'the', 'to') group by item_id",
     "hunk_overlap": """with c as (select source, doc_id, doc_id as s, doc_id + len(string_split(text, chr(10))) - 1 as e from documents), h as (select distinct source, doc_id // 10 * 10 as hs from documents),
       o as (select h.source || ':' || hs as hunk_id, doc_id, row_number() over (partition by h.source, hs order by e - s, s, doc_id) as rank from h join c on c.source = h.source and s <= hs + 3 and e >= hs)
       select * from o where rank <= 16""",
     "clamp_findings": f"with {_FIND} select doc_id, severity from fi where doc_id % 5 in (1, 2) and doc_id in (select doc_id from documents)",
     "findings_sorted": f"with {_FIND} select doc_id, severity, cast(case severity when 'critical' then 5 when 'medium' then 3 else 1 end as bigint) as rank from fi order by rank desc, doc_id",
     "findings_by_sev": f"with {_FIND} select severity, count(*) as n from fi group by severity",
+    "pr_payload": f"""with {_FIND} select doc_id, '{{"path":"f","body":"' || upper(severity) || ' **style** — check\\n\\n_confidence: 0.50_",' || case when doc_id % 3 = 0 then '"start_line":' || doc_id || ',"start_side":"RIGHT","line":' || (doc_id + 2)
+      else '"line":' || doc_id end || ',"side":"RIGHT"}}' as payload from fi where doc_id > 0""",
+    "diff_hunks": "select o_orderkey, 'o/' || o_orderkey || '.txt' as path, 1 as new_start, 3 as new_length, '2,3' as added, 1 as removed_count from orders",
     "cost_estimate": """with u as (select conv_id, ['small', 'medium', 'large', 'unknown'][conv_id % 4 + 1] as model, cast(coalesce(sum(greatest(1, length(text) // 4)) filter (where role = 'user'), 0) as bigint) as input_tokens,
       cast(coalesce(sum(greatest(1, length(text) // 4)) filter (where role <> 'user'), 0) as bigint) as output_tokens from conversations group by conv_id),
       p as (select * from (values ('small', 1.0::double, 5.0::double), ('medium', 3.0::double, 15.0::double), ('large', 15.0::double, 75.0::double)) v(model, i, o))

@@ -31,11 +31,8 @@ def pack_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    own = v.where(F.col("vec_id") == _QUERY).select(F.col("embedding").alias("q"), F.col("label").alias("own"))
-    pool = search.nearest(v.where(F.col("vec_id") != _QUERY), own, 8).join(F.broadcast(own.select("own")))
-    out = pool.where(F.col("label") != F.col("own"))
-    rank = F.row_number().over(search.Window.orderBy("rank")).cast("bigint")
-    return out.withColumn("rank", rank).where("rank <= 4").select("vec_id", F.round("score", 6).alias("score"), "rank")
+    asked = v.where(F.col("vec_id") == _QUERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own"))
+    return search.neighbours(v.where(F.col("vec_id") != _QUERY), asked, "label").select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:

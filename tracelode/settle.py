@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so lost executors cost a reread, not a rerun."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names; a folder of this machine only where all tasks run on it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _OWN:
-        # Only a session without the setting gets a folder of its own, as in local tests.
-        _OWN[context.applicationId] = folder or tempfile.mkdtemp(prefix="tracelode-settle-")
-        context.setCheckpointDir(_OWN[context.applicationId])
-    return df.checkpoint(eager=True)
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tracelode-settle-")
+    return _OWN[context.applicationId]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder until the driver ends.
+
+    Lost executors cost a reread, not a rerun, and as the files have a size, Spark
+    sends a small table to the tasks by its own check.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may already be gone at exit
+        pass

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..schemas import HUNKS
 
-_HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@ ?(.*)$")
+_HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)$")
 
 
 def _path(raw: str) -> str | None:
@@ -27,7 +27,7 @@ def parse_diff(text: str) -> list[dict]:
     rows: list[dict] = []
     now: dict | None = None
     hunk: dict | None = None
-    left = 0
+    left = old_left = 0  # lines of the new and the old side that the hunk still has
 
     def close() -> None:
         nonlocal now, hunk
@@ -45,14 +45,17 @@ def parse_diff(text: str) -> list[dict]:
         now = None
 
     for line in text.splitlines():
-        if hunk is not None and left > 0 and line[:1] in ("+", " ", "") or hunk is not None and line[:1] in ("-", "\\"):
+        mark = line[:1]
+        if hunk is not None and (mark == "\\" or mark == "+" and left or mark == "-" and old_left or mark in (" ", "") and left and old_left):
             if line.startswith("\\"):
                 continue
             hunk["lines"].append(line)
-            if line[:1] == "-":
+            if mark != "+":
+                old_left -= 1
+            if mark == "-":
                 hunk["removed_count"] += 1
             else:
-                if line[:1] == "+":
+                if mark == "+":
                     hunk["added"].append(hunk["new_start"] + hunk["new_length"] - left)
                 left -= 1
             continue
@@ -83,8 +86,8 @@ def parse_diff(text: str) -> list[dict]:
             now["row"]["is_binary"] = True
         elif now and (m := _HUNK.match(line)):
             close()
-            left = int(m[2]) if m[2] is not None else 1
-            hunk = {"hunk": now["n"], "new_start": int(m[1]), "new_length": left, "added": [], "removed_count": 0, "section_header": m[3], "lines": []}
+            old_left, left = (int(n) if n is not None else 1 for n in (m[1], m[3]))
+            hunk = {"hunk": now["n"], "new_start": int(m[2]), "new_length": left, "added": [], "removed_count": 0, "section_header": m[4], "lines": []}
     leave()
     return rows
 
@@ -97,10 +100,9 @@ def diff_hunks(diffs: DataFrame, column: str = "diff") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                text = row.pop(column)
-                if found := parse_diff(text or ""):
-                    yield pa.RecordBatch.from_pylist([row | x for x in found], schema=schema)
+            found = [row | x for row in batch.to_pylist() for x in parse_diff(row.pop(column) or "")]
+            for lo in range(0, len(found), 1000):
+                yield pa.RecordBatch.from_pylist(found[lo : lo + 1000], schema=schema)
 
     return diffs.mapInArrow(run, ddl)
 

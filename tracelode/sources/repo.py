@@ -101,10 +101,15 @@ def parse_files(files: DataFrame) -> DataFrame:
         from ..parsing import parse_source
 
         for batch in batches:
+            rows, size = [], 0
             for i in range(batch.num_rows):
                 path, language, content = (batch.column(c)[i].as_py() for c in ("relpath", "language", "content"))
                 parsed = parse_source(path, language, content or b"")
-                yield pa.RecordBatch.from_pylist([{"relpath": path, "chunks": parsed.chunks, "imports": parsed.imports}], schema=schema)
+                rows.append({"relpath": path, "chunks": parsed.chunks, "imports": parsed.imports})
+                size += len(content or b"")
+                if size > 4 << 20 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
 
     return files.select("relpath", "language", "content").mapInArrow(run, ddl)
 

@@ -6,6 +6,8 @@ import json
 import os
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import SparkSession
+
 
 @dataclass
 class RepoState:
@@ -32,17 +34,36 @@ class RepoState:
         self.attached = []
 
 
-def load_state(path: str) -> RepoState:
-    """Defaults where there is no file or it can't be read."""
+def _store(path: str, spark: SparkSession | None):
+    """Hadoop's file system and path for a URI, or nothing for a path of this machine."""
+    if spark is None or "://" not in path:
+        return None
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def load_state(path: str, spark: SparkSession | None = None) -> RepoState:
+    """Defaults where there is no file, or it can't be read or holds fields of other types."""
     try:
-        with open(path, encoding="utf-8") as f:
-            raw = json.load(f)
-        return RepoState(**{k: raw[k] for k in RepoState.__dataclass_fields__ if k in raw})
+        if store := _store(path, spark):
+            raw = json.loads(spark.read.text(path, wholetext=True).first()[0]) if store[0].exists(store[1]) else {}
+        else:
+            with open(path, encoding="utf-8") as f:
+                raw = json.load(f)
+        out = RepoState(**{k: raw[k] for k in RepoState.__dataclass_fields__ if k in raw})
+        lists = (out.pinned, out.attached, out.excluded)
+        whole = isinstance(out.top_k, int) and all(isinstance(x, list) and all(isinstance(p, str) for p in x) for x in lists)
+        return out if whole else RepoState()
     except (OSError, ValueError, TypeError):
         return RepoState()
 
 
-def save_state(path: str, state: RepoState) -> None:
+def save_state(path: str, state: RepoState, spark: SparkSession | None = None) -> None:
+    if store := _store(path, spark):
+        stream = store[0].create(store[1], True)
+        stream.write(bytearray(json.dumps(asdict(state), indent=2).encode()))
+        stream.close()
+        return
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(f"{path}.new", "w", encoding="utf-8") as f:
         json.dump(asdict(state), f, indent=2)
