@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 import random
 import re
 import struct
@@ -259,15 +260,32 @@ def test_components_equal_union_find(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def bags(rows, exact=False):
+    """Weighted five-word shingles of every row, made from strings; document frequencies are true counts if
+    ``exact``, else counted in the operator's slots."""
+    found = []
+    for _, text in rows:
+        w = words_of(text)
+        found.append(collections.Counter(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter())
+    names = sorted(set().union(*found))
+    if exact:
+        slot = {k: k for k in names}
+    else:
+        h, _, _ = near_dup._text_shingles(*flat(pa.array(names, pa.large_string())))
+        slot = {k: int(x) >> (64 - near_dup.SLOT_BITS) for k, x in zip(names, h, strict=True)}
+    df = collections.Counter(slot[k] for bag in found for k in bag)
+    idf = {k: math.log(1 + len(rows) / df[slot[k]]) for k in names}
+    return [{k: n * idf[k] for k, n in bag.items()} for bag in found]
+
+
+def jaccard(a, b):
+    low = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
+    return low / (sum(a.values()) + sum(b.values()) - low)
+
+
 def brute_classes(rows):
-    """Classes by weighted Jaccard over all pairs, with the operator's own weights."""
-    data, off = flat(pa.array([t for _, t in rows], pa.large_string()))
-    h, row, count = near_dup._text_shingles(data, off)
-    h, row, tf = near_dup._distinct(h, row)
-    df = np.bincount((h >> np.uint64(64 - near_dup.SLOT_BITS)).astype(np.int64), minlength=1 << near_dup.SLOT_BITS)
-    idf = np.log(np.log1p(len(rows) / np.maximum(df, 1.0))).astype(np.float32)
-    weight = near_dup.WEIGHTS[near_dup._levels(h, tf, idf)]
-    bag = [dict(zip(h[row == i].tolist(), weight[row == i].tolist(), strict=True)) for i in range(len(rows))]
+    """Classes by weighted Jaccard over all pairs."""
+    bag = bags(rows)
     parent = {i: i for i, _ in rows}
 
     def find(i):
@@ -276,12 +294,9 @@ def brute_classes(rows):
         return i
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        a, b = bag[i], bag[j]
-        if a and b:
-            low = sum(min(a[k], b[k]) for k in a.keys() & b.keys())
-            if low >= 0.8 * (sum(a.values()) + sum(b.values()) - low):
-                x, y = find(rows[i][0]), find(rows[j][0])
-                parent[max(x, y)] = min(x, y)
+        if bag[i] and bag[j] and jaccard(bag[i], bag[j]) >= 0.8:
+            x, y = find(rows[i][0]), find(rows[j][0])
+            parent[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in rows}
 
 
@@ -315,16 +330,83 @@ def test_near_duplicates_of_odd_tables(spark):
     assert near_dup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
-def test_sampler_agrees_as_often_as_weights_do():
+def test_planted_edits_are_found(spark):
+    """Every pair of at least 0.8 by exact weights is in one class, and no class joins texts below 0.7 only."""
+    rng = random.Random(12)
+    rows, groups = [], []
+    for share in (0.01, 0.05, 0.1, 0.2):
+        for _ in range(5):
+            base, group = sentence(rng, 250).split(), []
+            for _ in range(9):
+                w = list(base)
+                for at in rng.sample(range(250), round(250 * share)):
+                    w[at] = sentence(rng, 1)
+                group.append(len(rows))
+                rows.append((len(rows), " ".join(w)))
+            groups.append((share, group))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(documents(spark, rows).repartition(6)).collect()}
+    bag = bags(rows, exact=True)
+    near = found = 0
+    for share, group in groups:
+        for i, j in itertools.combinations(group, 2):
+            sim = jaccard(bag[i], bag[j])
+            near += sim >= 0.8
+            found += sim >= 0.8 and got[i] == got[j]
+            if share >= 0.1:
+                assert sim < 0.7 and got[i] != got[j]
+    assert near > 100 and found >= 0.98 * near
+    assert all(a == b or any(a in g and b in g for _, g in groups) for a, b in got.items())
+
+
+def test_one_large_group_of_unlike_copies(spark):
+    """Copies that are all near one another but under 0.8: every pair is looked at or ruled out, none is linked."""
+    rng = random.Random(13)
+    base = sentence(rng, 120).split()
+    rows = []
+    for i in range(700):
+        w = list(base)
+        for at in rng.sample(range(120), 4):
+            w[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, f"{t} and") for i, t in rows[:5]]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(documents(spark, rows).repartition(4)).collect()}
+    bag = bags(rows)
+    for i in range(5):
+        assert got[1000 + i] == (got[i] if jaccard(bag[i], bag[700 + i]) >= 0.8 else 1000 + i)
+    sample = rng.sample(range(700), 60)
+    for i, j in itertools.combinations(sample, 2):
+        assert (got[i] == got[j]) >= (jaccard(bag[i], bag[j]) >= 0.8)
+
+
+def test_clashing_and_null_ids_stand_for_their_own_texts(spark):
+    rng = random.Random(14)
+    u, v, t, x = (sentence(rng, 60) for _ in range(4))
+    rows = [(2, u), (None, u), (None, v), (None, v.upper()), (7, t), (7, x), (8, t + " more"), (9, x + " more"), (None, ""), (None, None), (7, t)]
+    docs = documents(spark, rows).withColumn("__D1", F.lit(5))
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(2, u), (None, min(v, v.upper())), (7, t), (7, x), (None, ""), (None, None)], key=str)
+    sizes = [(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dup.near_duplicate_classes(docs).where("doc_id > 6").collect()]
+    assert collections.Counter(sizes) == collections.Counter({(7, 7, 3): 2, (7, 7, 2): 1, (8, 7, 3): 1, (9, 7, 2): 1})
+
+
+def test_sampler_agrees_as_often_as_weights_do(monkeypatch):
+    monkeypatch.setattr(near_dup, "ROWS", 1)
+    monkeypatch.setattr(near_dup, "BANDS", 64)
     rng = np.random.default_rng(1)
-    sampler = near_dup.Sampler()
-    shared, a, b = (rng.integers(1, 2**63, n, dtype=np.uint64) for n in (600, 200, 200))
-    h = np.concatenate([np.sort(np.concatenate([shared, x])) for x in (a, b)])
-    row = np.repeat([0, 1], 800)
-    bands = sampler.bands(h, row, np.full(1600, 20), 2)
-    same = (bands[0] == bands[1]).mean()
-    assert 0.0 < same < 0.6  # 0.6 ** 4 in the mean
-    assert (sampler.bands(h[:800], row[:800], np.full(800, 20), 1) == bands[:1]).all()
+    sampler, seen, want = near_dup.Sampler(), [], []
+    for _ in range(40):
+        shared, a, b = (rng.integers(1, 2**63, n, dtype=np.uint64) for n in (300, 80, 80))
+        low, high = rng.integers(8, 16, 300), rng.integers(8, 16, 300)
+        parts = [(np.concatenate([shared, x]), np.concatenate([v, rng.integers(8, 16, 80)])) for x, v in ((a, low), (b, high))]
+        order = [np.argsort(h) for h, _ in parts]
+        h, level = (np.concatenate([p[k][o] for p, o in zip(parts, order, strict=True)]) for k in (0, 1))
+        bands = sampler.bands(h, np.repeat([0, 1], 380), level, 2)
+        seen.append((bands[0] == bands[1]).mean())
+        x, y = (dict(zip(p[0].tolist(), near_dup.WEIGHTS[p[1]].tolist(), strict=True)) for p in parts)
+        want.append(jaccard(x, y))
+        assert (sampler.bands(h[:380], np.zeros(380, np.int64), level[:380], 1) == bands[:1]).all()
+    assert abs(np.mean(seen) - np.mean(want)) < 0.03
 
 
 # op7

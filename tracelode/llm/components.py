@@ -28,7 +28,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node with an edge; the component is its least node.
 
     ``edges`` has two columns of equal, orderable type; their order, repeats and
@@ -37,12 +37,11 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     a, b = edges.columns
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "components")
     told = None
-    for _ in range(most_rounds):
+    # Every round that changes anything brings some node a smaller neighbour, so the rounds end.
+    while True:
         now = cut(_star(_star(now, True), False), "components")
         total = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))).first()
         if total == told or not total[0]:
             break
         told = total
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()).distinct()

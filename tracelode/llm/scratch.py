@@ -2,7 +2,8 @@
 
 Every multi-pass operator cuts its lineage by writing a narrow Parquet table in
 the folder that the cluster shares (``spark.checkpoint.dir``). A folder of our
-own is only used where that setting is absent, as in local tests.
+own is only used where that setting is absent and all tasks run on this machine,
+as in local tests; elsewhere its absence is an error.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors and the driver can reach, read from the session."""
+    """Folder all executors and the driver can reach, read from the session; without it, only a local session has one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="tracelode-")
@@ -45,11 +48,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    _remove(spark, path)
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

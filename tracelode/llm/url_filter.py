@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import free_name, free_prefix, others, quoted
 from .scratch import cut
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,6 +26,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MAX_SHAPES = 60
 
 
+class TooLarge(ValueError):
+    """A filter level is larger than what may be sent to every task."""
+
+
 @dataclass(frozen=True)
 class Rule:
     """``action`` ('allow' or 'block') for a host with all subdomains and a path prefix."""
@@ -118,7 +123,7 @@ def _encode(keys: DataFrame, n: int, rate: float, most_bytes: int, number: int =
     # Odd and different from level to level, so that keys that agree modulo one size don't modulo the next.
     size = -(-size // 64) * 64 - 1 - 2 * number
     if size // 8 > most_bytes:
-        raise ValueError(f"a level of {size // 8} bytes is over the bound of {most_bytes}; raise most_bytes or filter the keys first")
+        raise TooLarge(f"a level of {size // 8} bytes is over the bound of {most_bytes}")
     hashes = max(1, round(size / max(n, 1) * math.log(2)))
     hashes = min(hashes, 16)
     first = 16 * number
@@ -131,12 +136,14 @@ def _encode(keys: DataFrame, n: int, rate: float, most_bytes: int, number: int =
     return Level(out.view(np.uint64), size, hashes, first)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01, most_bytes: int = 64 << 20, most_levels: int = 40) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01, most_bytes: int = 64 << 20) -> Cascade:
     """Cascade for the distinct ``key`` strings in ``listed`` against those in ``universe``.
 
     Null keys are ignored. An empty list gives a cascade without levels, which
-    holds nothing. ``most_bytes`` bounds one level; a larger one is an error, as
-    levels are sent to every task.
+    holds nothing. ``most_bytes`` bounds one level; a larger one raises
+    ``TooLarge``, as levels are sent to every task. There are as many levels as it
+    takes: each keeps a part of the keys before it, and two keys that share both
+    64-bit hashes, which no level could tell apart, raise an error.
     """
     def hashed(df: DataFrame) -> DataFrame:
         h1, h2 = _hashes(F.col("key"))
@@ -151,16 +158,17 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.01, mo
     wrong = hashed(universe.select("key")).where(_probe(levels, True)("h1", "h2")).distinct().join(inside.select("key"), "key", "left_anti")
     outside = cut(wrong, "cascade-outside")
     turn, (now, other) = 1, (outside, inside)
-    while (n := now.count()) and len(levels) < most_levels:
+    clash = inside.select("h1", "h2").join(outside.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    if not clash.isEmpty():
+        raise ValueError("two keys of the list and the universe share both hashes")
+    while n := now.count():
         levels.append(_encode(now, n, 0.5 if turn > 1 else rate, most_bytes, turn))
         caught = cut(other.where(_probe(levels[-1:], True)("h1", "h2")), "cascade-caught")
         now, other, turn = caught, now, turn + 1
-    if n:
-        raise ValueError("two keys of the list and the universe share both hashes")
     return Cascade(levels)
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url", rate: float = 0.01, most_bytes: int = 64 << 20) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = "allow", url: str = "url", rate: float = 0.01, most_bytes: int = 64 << 20) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` and ``verdict`` to ``pages``.
 
     A rule fits its host and all subdomains when the path starts with the
@@ -171,38 +179,61 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
 
     Null urls and urls without ``://`` have an empty host and path. Repeated rows
     each get a verdict; other columns pass through, but for existing columns
-    with the four names, which are replaced (``__best`` is reserved). No rules:
-    all rows get ``default``. Rules may have any number of shapes.
+    with the four names in upper or lower case, which are replaced. No rules: all
+    rows get ``default``. Rules may have any number of shapes, and be a list or a
+    table ``action, host, path`` of any length; equal host and path count once,
+    by the least action. A list whose levels would be over ``most_bytes`` is
+    looked up by an exact join instead, as levels of that size are not sent.
     """
     spark = pages.sparkSession
-    by_key: dict[str, Rule] = {}
-    for r in rules:
-        by_key.setdefault(r.key, r)
-    shapes = sorted({r.shape for r in by_key.values()})
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.action, r.host, r.path) for r in rules], "action string, host string, path string")
+    # Paths of urls are empty or start with a slash; rules of another kind fit none of them.
+    table = rules.where("action is not null and (path = '' or path like '/%') and not host rlike '[/?#]'")
+    table = table.select(F.concat("host", "path").alias("key"), "action", (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("labels"), F.length("path").alias("chars"))
+    # Shapes are far fewer than rules: numbers of labels times lengths of paths.
+    shapes = sorted((r["labels"], r["chars"]) for r in table.select("labels", "chars").distinct().toLocalIterator())
+    listed = table.groupBy("key").agg(F.min("action").alias("action"))
     host, path = url_parts(F.col(url))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
+    kept = others(pages, ("host", "path", "rule", "verdict"))
+    pre = free_prefix(pages, "__")
+    best_name = f"{pre}best"
+    parts = pages.select(*quoted(kept), host.alias("host"), path.alias("path"))
     if not shapes:
         return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keys = [_shape_key(F.col("host"), F.col("path"), s) for s in shapes]
     universe = parts.select(F.explode(F.array(*keys)).alias("key"))
-    listed = spark.createDataFrame([(k, r.action) for k, r in by_key.items()], "key string, action string")
-    member = build_cascade(listed, universe, rate, most_bytes)
-    blocks = build_cascade(listed.where("action = 'block'"), listed, rate, most_bytes)
+    try:
+        member = build_cascade(listed, universe, rate, most_bytes)
+        blocks = build_cascade(listed.where("action = 'block'"), listed, rate, most_bytes)
+    except TooLarge:
+        return _judge_by_join(parts, kept, keys, shapes, listed, default)
 
     is_member, is_block = _probe(member.levels, False), _probe(blocks.levels, False)
     hit, best = parts, None
     for at in range(0, len(shapes), _MAX_SHAPES):
         group = list(enumerate(shapes))[at : at + _MAX_SHAPES]
-        named = hit.select("*", *[keys[i].alias(f"__k{i}") for i, _ in group])
-        found = named.select("*", *[F.when(F.col(f"__k{i}").isNotNull() & is_member(*_safe(F.col(f"__k{i}"))), F.struct(F.length(f"__k{i}").alias("n"), F.lit(s[0]).alias("labels"), F.col(f"__k{i}").alias("key"))).alias(f"__s{i}") for i, s in group])
-        options = [*([] if best is None else [best]), *[F.col(f"__s{i}") for i, _ in group]]
-        best = F.col("__best")
-        hit = found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", (options[0] if len(options) == 1 else F.greatest(*options)).alias("__best"))
-    out = hit.select(*[F.col(f"`{c}`") for c in kept], "host", "path", best["key"].alias("rule"))
+        named = hit.select("*", *[keys[i].alias(f"{pre}k{i}") for i, _ in group])
+        found = named.select("*", *[F.when(F.col(f"{pre}k{i}").isNotNull() & is_member(*_safe(F.col(f"{pre}k{i}"))), F.struct(F.length(f"{pre}k{i}").alias("n"), F.lit(s[0]).alias("labels"), F.col(f"{pre}k{i}").alias("key"))).alias(f"{pre}s{i}") for i, s in group])
+        options = [*([] if best is None else [best]), *[F.col(f"{pre}s{i}") for i, _ in group]]
+        best = F.col(best_name)
+        hit = found.select(*quoted(kept), "host", "path", (options[0] if len(options) == 1 else F.greatest(*options)).alias(best_name))
+    out = hit.select(*quoted(kept), "host", "path", best["key"].alias("rule"))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(is_block(*_safe(F.col("rule"))), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("*", verdict.alias("verdict"))
 
 
+def _judge_by_join(parts: DataFrame, kept: list[str], keys: list[Column], shapes: list[tuple[int, int]], listed: DataFrame, default: str) -> DataFrame:
+    """The same verdicts by a join of each distinct host and path's keys with the list, for lists too large to send."""
+    n, at = F.length("key").alias("n"), ("host", "path")
+    spread = F.array(*[F.struct(k.alias("key"), F.lit(s[0]).alias("labels")) for k, s in zip(keys, shapes, strict=True)])
+    asked = parts.select(*at).distinct().withColumn("o", F.explode(spread)).select(*at, "o.key", "o.labels").where("key is not null")
+    found = asked.join(listed, "key").groupBy(*at).agg(F.max(F.struct(n, "labels", "key", "action")).alias("r"))
+    h, p = (free_name(parts, x) for x in ("__h", "__p"))
+    found = found.select(F.col("host").alias(h), F.col("path").alias(p), F.col("r.key").alias("rule"), F.when(F.col("r.action") == "block", "block").otherwise("allow").alias("verdict"))
+    out = parts.join(found, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    return out.select(*quoted(kept), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
 def _safe(key: Column) -> tuple[Column, Column]:
     return _hashes(F.coalesce(key, F.lit("")))
