@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, mixing, near_dup, quality, substring_dedup, token_coder, token_count, toxicity, url_filter
+from .scratch import cut
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [
@@ -71,8 +72,10 @@ select doc_id, size, source_size, target, cast(size * (whole + case when whole <
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of all documents are stored once; the benchmark is answered from the stored index."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark")).drop("text")
+    index = cut(decontaminate.build_index(docs), "op3-index")
+    return decontaminate.index_contamination(index, _read(spark, sf_dir, "benchmark")).drop("longest_hit")
 
 
 OP3_SQL = r"""

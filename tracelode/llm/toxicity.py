@@ -3,10 +3,11 @@
 Words (with what is inserted into them by punctuation or single-letter spacing
 undone) are compared with a few landmark strings by the string subsequence
 kernel, so gapped and padded spellings stay close. A text's vector holds its
-greatest similarity to each landmark; the Nystroem map turns it into coordinates
-for a linear support vector machine, and a logistic curve turns margins into
-scores. Landmarks and weights are learned on the driver from a bounded sample of
-labelled rows; scoring sees every word of every text.
+greatest similarity to each landmark; the Nystroem map (the inverse root of the
+landmarks' own kernel matrix) turns it into coordinates for a linear support
+vector machine, and a logistic curve turns margins into scores. Landmarks,
+weights and the machine's cost are learned on the driver from a bounded sample
+of labelled rows; scoring sees every word of every text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import ddl, free_name
 from .textblocks import ALNUM, blocks, mix
 from .workers import lean
 
@@ -31,9 +33,14 @@ START = 1
 POWER = 3
 #: Toxic rows that the model is fitted to at most (and twice as many others), and the longest text among them (bytes).
 SAMPLE = 1500
-SAMPLE_BYTES = 64 << 10
-LANDMARKS = 24
-WINDOW = 24
+SAMPLE_BYTES = 16 << 10
+#: More than any table at hand gives evidence for; what qualifies is used, and scoring takes time in proportion.
+LANDMARKS = 256
+#: Bytes of a word that the kernel looks at together: every run of so many is compared, and a word is as close to a
+#: landmark as its closest run. A subsequence spread over more would weigh next to nothing (DECAY to that power).
+REACH = 32
+_RUNS = 4096
+COSTS = (1.0, 10.0, 100.0)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,7 +50,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Normalised words of the block and their rows.
 
     A word is what stands between white space, lower-cased, without ASCII signs;
-    three or more single characters in a row also make up one word.
+    three or more single characters in a row, of any alphabet, also make up one word.
     """
     mapped = ALNUM[data]
     space = _SPACE[data]
@@ -64,7 +71,9 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         return pa.array([], pa.large_binary()), row
     bounds = np.append(begin, len(text)).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(text)])
-    single = (end - begin) == 1
+    # Characters, not bytes: those that continue a character don't count.
+    starts = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
+    single = starts[end] - starts[begin] == 1
     if single.sum() >= 3:
         edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -108,34 +117,36 @@ def subsequence_kernel(words: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def similarities(words: pa.Array, landmarks: list[bytes]) -> np.ndarray:
     """Kernel of every word with every landmark as a share of the landmark's own, 1 at most: 1 for words that
-    hold the landmark, less the more of it is missing or spread out; long words by their best window."""
+    hold the landmark, less the more of it is missing or spread out; the greatest over all runs of ``REACH`` bytes."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     if not len(words) or not landmarks:
         return out
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    size = np.diff(offsets)
     data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
     marks = [np.frombuffer(z, np.uint8) for z in landmarks]
     own = [float(subsequence_kernel(z[None, :], z)[0]) for z in marks]
-    for length in np.unique(np.minimum(size, WINDOW)):
-        if length + 1 < LENGTH:
+    # The sign before the first character is part of the word, so that a landmark may be a stem.
+    size = np.diff(offsets) + 1
+    runs = np.maximum(size - REACH, 0) + 1
+    for length in np.unique(np.minimum(size, REACH)):
+        if length < LENGTH:
             continue
-        which = np.flatnonzero(size == length) if length < WINDOW else np.flatnonzero(size >= WINDOW)
-        begin, of = offsets[which], which
-        if length == WINDOW:
-            steps = -(-(size[which] - WINDOW) // (WINDOW // 2)) + 1
-            of = np.repeat(which, steps)
-            inner = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-            begin = np.minimum(offsets[of] + inner * (WINDOW // 2), offsets[of] + size[of] - WINDOW)
-        for lo in range(0, len(begin), 4096):
-            part = data[begin[lo : lo + 4096, None] + np.arange(length)]
-            at_start = begin[lo : lo + 4096] == offsets[of[lo : lo + 4096]]
-            part = np.column_stack([np.where(at_start, START, 0).astype(np.uint8), part])
-            got = np.stack([subsequence_kernel(part, z) / k for z, k in zip(marks, own, strict=True)], axis=1)
-            if length < WINDOW:
-                out[of[lo : lo + 4096]] = got
-            else:
-                np.maximum.at(out, of[lo : lo + 4096], got)
+        which = np.flatnonzero(np.minimum(size, REACH) == length)
+        # Words in pieces of so many runs, so that memory doesn't grow with the length of a word.
+        of = np.repeat(which, -(-runs[which] // _RUNS))
+        piece = np.arange(len(of)) - np.searchsorted(of, of)
+        count = np.minimum(runs[of] - piece * _RUNS, _RUNS)
+        edge = np.cumsum(count) // _RUNS
+        for g in np.unique(edge):
+            part = np.flatnonzero(edge == g)
+            word = np.repeat(of[part], count[part])
+            first = np.repeat(piece[part] * _RUNS - np.cumsum(count[part]) + count[part], count[part]) + np.arange(count[part].sum())
+            at = first[:, None] + np.arange(length) - 1
+            taken = np.where(at < 0, START, data[np.maximum(offsets[word][:, None] + at, 0)]).astype(np.uint8)
+            unlike, back = np.unique(taken.view(np.dtype((np.void, int(length)))).ravel(), return_inverse=True)
+            unlike = unlike.view(np.uint8).reshape(-1, length)
+            got = np.stack([subsequence_kernel(unlike, z) / k for z, k in zip(marks, own, strict=True)], axis=1)
+            np.maximum.at(out, word, got[back.ravel()])
     return np.minimum(out, 1.0) ** POWER
 
 
@@ -191,15 +202,10 @@ class Model:
     def scores(self, data: np.ndarray, off: np.ndarray, memo: Memo | None = None) -> np.ndarray:
         if not self.landmarks:
             return np.full(len(off) - 1, self.prior)
-        margin = _coordinates(text_vectors(data, off, self.landmarks, memo), self.nystroem) @ self.weights + self.bias
+        margin = text_vectors(data, off, self.landmarks, memo) @ self.nystroem @ self.weights + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -40, 40)))
 
 
-def _coordinates(x: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Nystroem coordinates, and the likeness to the nearest landmark, for texts with one insult only."""
-    return np.column_stack([x @ root, 3.0 * x.max(axis=1)])
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -208,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model to at most ``sample`` toxic and twice as many other rows that are not held out.
 
     Rows are chosen by a hash of their id. Labels of null id or class are
-    ignored; of repeated labels of a row the greatest counts. Null and empty
-    texts are examples without words. With one class only the model always
+    ignored; of repeated labels of a row the greatest counts, of several texts
+    with one id the least. Null and empty texts are examples without words. With one class only the model always
     answers it; without labels the score is 0.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -221,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES
     # The sample is bounded by its parameter, so it is the side to send.
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(short)
-    rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("d")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64))
 
@@ -245,13 +251,31 @@ def fit(texts: list[str], y: np.ndarray, n_landmarks: int = LANDMARKS) -> Model:
     own = np.sqrt(np.diag(among))
     value, vector = np.linalg.eigh((among / own[:, None] / own[None, :]) ** POWER)
     root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-    phi = _coordinates(x, root)
-    weights, bias = _svm(phi, y)
+    phi = x @ root
+    weights, bias = _svm(phi, y, _cost(phi, y))
     margin = phi @ weights + bias
     return Model(0.0, landmarks, root, weights, bias, _curve(margin, y))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 100.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+def _cost(x: np.ndarray, y: np.ndarray) -> float:
+    """The cost whose machines do best on the half of the rows that they have not seen (mean of both classes), the least of equals."""
+    half = np.random.default_rng(6).permutation(len(y)) % 2
+    best, least = -1.0, COSTS[0]
+    for cost in COSTS:
+        right = []
+        for k in (0, 1):
+            fit_to, other = half == k, half != k
+            if len(np.unique(y[fit_to])) < 2 or len(np.unique(y[other])) < 2:
+                return COSTS[-1]
+            w, b = _svm(x[fit_to], y[fit_to], cost, 20)
+            hit = (x[other] @ w + b > 0) == (y[other] > 0)
+            right += [hit[y[other] > 0].mean(), hit[y[other] <= 0].mean()]
+        if np.mean(right) > best + 1e-9:
+            best, least = float(np.mean(right)), cost
+    return least
+
+
+def _svm(x: np.ndarray, y: np.ndarray, cost: float, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Linear support vector machine by dual coordinate descent; classes weigh alike."""
     sign = np.where(y > 0, 1.0, -1.0)
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -424,23 +448,34 @@ def _evidence(tox: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
     return np.where(p > share, all_ * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share))), 0.0)
 
 
-def _score_rows(sent, names: list[str]):
+def _score_rows(sent, name: str):
     @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for batch in batches:
             for part, data, off in blocks(batch, most=2 << 20):
                 score = pa.array(sent.value.scores(data, off, memo), pa.float64())
-                yield pa.record_batch({n: score if n == "__score" else part.column(n) for n in names})
+                yield pa.record_batch([*part.columns, score], [*part.schema.names, name])
 
     return run
 
 
-def add_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``__score``, from the whole text (null: empty) alone."""
+def add_scores(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFrame:
+    """All columns of ``docs`` and the score, from the whole text (null: empty) alone.
+
+    A column of the score's name, in upper or lower case, is an error: callers
+    choose a free one (``columns.free_name``).
+    """
+    if free_name(docs, name) != name:
+        raise ValueError(f"the table has a column {name}")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_score_rows(sent, [*docs.columns, "__score"]), f"{types}, __score double")
+    return docs.mapInArrow(_score_rows(sent, name), f"{ddl(docs, docs.columns)}, `{name}` double")
+
+
+def keep_mild(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score under the threshold, by a model of the labels of these rows."""
+    score = free_name(docs, "toxicity_score")
+    return add_scores(docs, train(docs, labels), score).where(F.col(score) < threshold).drop(score)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -450,5 +485,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     scored each; extra columns are ignored.
     """
     model = train(docs, labels)
-    scored = add_scores(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    scored = add_scores(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
