@@ -21,8 +21,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is under the threshold; the model learns from labels of the rows at hand."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.add_scores(docs, model).where(F.col("__score") < 0.7).drop("__score")
+    return toxicity.keep_mild(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which benchmark passages make up less than a twentieth."""
+    """Rows without a benchmark passage: no window of 13 words of an item in a row, and under a twentieth of words in
+    shorter items, as those are found in clean texts by chance."""
     judged = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    clean = (F.col("longest_hit") < decontaminate.WINDOW) & ~F.col("contaminated")
+    return judged.where(clean).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
