@@ -121,38 +121,68 @@ def test_counts_equal_plain_python(spark):
         assert tuple(r[n] for n in names) == plain_counts(texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
-def brute_mcd(z, steps):
-    """Concentration steps from medians and deviations, as the operator takes them, with exact quantiles."""
-    floors = np.diag(np.square(quality.FLOORS))
-    m = np.array([np.sort(c)[(len(c) - 1) // 2] for c in z.T])
-    mad = np.array([np.sort(c)[(len(c) - 1) // 2] for c in np.abs(z - m).T])
-    cov = np.diag(np.square(1.4826 * mad)) + floors
-    d = lambda: np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(cov), z - m)
-    for _ in range(steps):
-        far = d()
+def concentrate(z, m, cov):
+    """Concentration steps from an estimate until the determinant stops falling: mean, covariance, its determinant's logarithm."""
+    floors, best = np.diag(np.square(quality.FLOORS)), math.inf
+    while True:
+        far = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(cov), z - m)
         inner = z[far <= np.sort(far)[math.ceil(quality.SUPPORT * len(far)) - 1]]
-        m, cov = inner.mean(axis=0), np.cov(inner.T, bias=True) * quality.CONSISTENCY + floors
-    return d()
-
-
-def test_outliers_equal_brute_force(spark):
-    random.seed(4)
-    rows = []
-    for i in range(160):
-        words = ["".join(random.choice("abcdefgh") for _ in range(random.randrange(2, 9))) for _ in range(80)]
-        if i % 40 == 7:
-            words = [w + "%%%%%%" for w in words]
-        rows.append((i, " ".join(words), "en" if i % 2 else None, "s"))
+        new = inner.mean(axis=0), np.cov(inner.T, bias=True) * quality.CONSISTENCY + floors
+        det = np.linalg.slogdet(new[1])[1]
+        if best - det <= quality.GAIN:
+            return m, cov, best
+        (m, cov), best = new, det
+
+
+def brute_mcd(z, seed, tries=300):
+    """The least determinant from many random starts of five rows each."""
+    rng, floors = np.random.default_rng(seed), np.diag(np.square(quality.FLOORS))
+    found = []
+    for _ in range(tries):
+        some = z[rng.choice(len(z), 5, replace=False)]
+        found.append(concentrate(z, some.mean(axis=0), np.cov(some.T, bias=True) + floors))
+    return min(found, key=lambda f: f[2])
+
+
+def prose(rng, n=80, tail=""):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + tail for _ in range(n))
+
+
+def test_estimates_come_near_the_least_determinant(spark):
+    """The logarithm of the determinant is within 0.05 of the least of 300 random starts, in one cloud, in two, and with
+    outliers. It was 0.03 above in one cloud when this was written: the steps end in local minima, as they do from any start."""
+    rng = np.random.default_rng(5)
+    cloud = lambda n, at, wide: rng.normal(at, wide, (n, 4))
+    groups = {"one": cloud(120, 0, 1), "two": np.vstack([cloud(90, 0, 0.3), cloud(40, 4, 0.3)]), "wild": np.vstack([cloud(100, 1, 0.5), cloud(30, 0, 9)]), "few": cloud(6, 0, 1)}
+    rows = [(g, *map(float, v)) for g, z in groups.items() for v in z] + [("four", 0.0, 0.0, 0.0, 0.0)] * 4
+    out = {r["grp"]: r for r in quality.estimates(spark.createDataFrame(rows, "grp string, z0 double, z1 double, z2 double, z3 double")).collect()}
+    assert set(out) == set(groups)
+    for g, z in groups.items():
+        m, cov, det = brute_mcd(z, 6)
+        assert out[g]["log_det"] <= det + 0.05
+        assert out[g]["log_det"] == pytest.approx(np.linalg.slogdet(np.array([[out[g][f"c{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)]))[1], rel=1e-6)
+        if g in ("two", "wild"):
+            assert np.abs(m - [out[g][f"m{i}"] for i in range(4)]).max() < 0.1
+
+
+def test_outliers_of_groups_of_any_size(spark):
+    """A text of symbols is an outlier among 5 rows as among 51; four rows have no estimate."""
+    rng, rows = random.Random(4), []
+    for size in (4, 5, 6, 49, 50, 51, 160):
+        for i in range(size):
+            rows.append((len(rows), prose(rng, tail="%%%%%%" if i == 1 else ""), "en" if size % 2 else None, f"s{size}"))
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
     out = quality.outlier_flags(quality.text_counts(docs)).collect()
-    z = {r["doc_id"]: r for r in quality.statistics(quality.text_counts(docs)).collect()}
-    for odd in (0, 1):
-        ids = sorted(i for i in range(160) if i % 2 == odd)
-        want = dict(zip(ids, brute_mcd(np.array([[z[i][s] for s in quality.STATS] for i in ids]), quality.STEPS), strict=True))
-        for r in out:
-            if r["doc_id"] in want:
-                assert r["distance"] == pytest.approx(want[r["doc_id"]], rel=1e-6, abs=1e-9)
-    assert {r["doc_id"] for r in out if not r["kept"]} == {7, 47, 87, 127}
+    assert all((r["distance"] is None) == (r["source"] == "s4") for r in out)
+    gone = {r["source"] for r in out if not r["kept"]}
+    assert gone == {"s5", "s6", "s49", "s50", "s51", "s160"} and sum(not r["kept"] for r in out) == 6
+    stats = {r["doc_id"]: [r[z] for z in quality.STATS] for r in quality.statistics(quality.text_counts(docs)).collect()}
+    for s in ("s49", "s50", "s51", "s160"):
+        mine = [r for r in out if r["source"] == s]
+        z = np.array([stats[r["doc_id"]] for r in mine])
+        m, cov, _ = brute_mcd(z, 7, 60)
+        far = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(cov), z - m)
+        assert [r["distance"] > quality.CUTOFF for r in mine] == [f > quality.CUTOFF for f in far]
 
 
 def test_small_groups_and_empty_tables_reject_nothing(spark):

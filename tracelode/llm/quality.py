@@ -2,10 +2,12 @@
 
 Counts are taken per text with built-in functions, then each (language, source)
 group gets a minimum-covariance-determinant estimate of its transformed
-statistics by concentration steps: distances under the current estimate, the
-group's h-quantile of them, moments of the rows within it. All steps are
-partial aggregations over a narrow table, so a hot group costs no task more
-than others. No Python runs on the executors.
+statistics: from several starts, concentration steps (distances under the
+current estimate, the group's h-quantile of them, moments of the rows within it)
+until the determinant falls no further; the least determinant counts. The
+estimate is regularised: every variance has a floor. All steps are partial
+aggregations over a narrow table, so a hot group costs no task more than others.
+No Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ SUPPORT = 0.75
 CONSISTENCY = 1.0 / 0.6163
 #: Squared distance beyond which a row is an outlier: chi-square with four degrees of freedom, far tail.
 CUTOFF = 40.0
-#: Groups under this size are pooled by language, then over all.
-LEAST_GROUP = 50
-STEPS = 4
+#: A covariance of four statistics needs more rows than statistics; no estimate, and no rejection by distance, below.
+LEAST_ROWS = 5
+#: A step counts as a gain if the logarithm of the determinant falls by more.
+GAIN = 1e-6
 #: Least standard deviation of each statistic: differences this small are never grounds for rejection.
 FLOORS = (0.35, 0.35, 0.12, 0.12)
 STATS = ("z0", "z1", "z2", "z3")
@@ -80,19 +83,28 @@ def statistics(counts: DataFrame) -> DataFrame:
     })
 
 
-def _distance(prefix: str = "m") -> Column:
-    """Squared Mahalanobis distance under mean ``m*`` and covariance ``c*``, by Cholesky factors as columns."""
-    p = len(STATS)
+def _factor() -> dict[tuple[int, int], Column]:
+    """Cholesky factor of the covariance ``c*`` as columns."""
     low: dict[tuple[int, int], Column] = {}
-    solved: list[Column] = []
-    for i in range(p):
+    for i in range(len(STATS)):
         for j in range(i + 1):
             rest = F.col(f"c{j}{i}")
             for k in range(j):
                 rest = rest - low[i, k] * low[j, k]
             low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / low[j, j]
-    for i in range(p):
-        rest = F.col(STATS[i]) - F.col(f"{prefix}{i}")
+    return low
+
+
+def _log_det() -> Column:
+    low = _factor()
+    return sum((2.0 * F.log(low[i, i]) for i in range(len(STATS))), F.lit(0.0)).alias("log_det")
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance under mean ``m*`` and covariance ``c*``."""
+    low, solved = _factor(), []
+    for i in range(len(STATS)):
+        rest = F.col(STATS[i]) - F.col(f"m{i}")
         for k in range(i):
             rest = rest - low[i, k] * solved[k]
         solved.append(rest / low[i, i])
@@ -109,42 +121,66 @@ def _moments(scale: float) -> list[Column]:
     return out
 
 
-def outlier_flags(counts: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, least_group: int = LEAST_GROUP) -> DataFrame:
+_SHAPE = [f"m{i}" for i in range(4)] + [f"c{i}{j}" for i in range(4) for j in range(i, 4)]
+
+
+def _starts(fit: DataFrame) -> DataFrame:
+    """Three estimates of every group: medians and absolute deviations; moments of the rows within two of these
+    deviations in every statistic; moments of all rows."""
+    accuracy = F.lit(2000)
+    centre = fit.groupBy("grp").agg(*[F.percentile_approx(z, F.lit(0.5), accuracy).alias(f"m{i}") for i, z in enumerate(STATS)], F.count("*").alias("n"))
+    centre = cut(centre.where(F.col("n") >= LEAST_ROWS).drop("n").repartition(1), "quality-centre")
+    spread = fit.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(4)], *[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), F.lit(0.5), accuracy).alias(f"d{i}") for i, z in enumerate(STATS)])
+    spread = cut(spread.repartition(1), "quality-spread")
+    wide = [F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 for i in range(4)]
+    shape = [(wide[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i, 4)]
+    first = spread.select("grp", F.lit(0).alias("start"), *[f"m{i}" for i in range(4)], *shape)
+    inside = F.lit(True)
+    for i, z in enumerate(STATS):
+        inside = inside & (F.pow(F.col(z) - F.col(f"m{i}"), 2) <= 4.0 * wide[i])
+    held = fit.join(spread, "grp").withColumn("inside", inside).select("grp", "inside", *STATS)
+    near = held.where("inside").groupBy("grp").agg(*_moments(1.0)).withColumn("start", F.lit(1))
+    whole = held.groupBy("grp").agg(*_moments(1.0)).withColumn("start", F.lit(2))
+    return first.unionByName(near).unionByName(whole)
+
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """``grp, m*, c*, log_det`` of every group in ``fit`` (``grp`` and the statistics) with at least ``LEAST_ROWS`` rows.
+
+    Tables of one row per group and start are one file each, whose size Spark
+    checks before it sends them. Each round that goes on has lowered some group's
+    determinant, of which there are finitely many, so the rounds end.
+    """
+    order = F.struct("log_det", "start")
+    now = cut(_starts(fit).withColumn("log_det", F.lit(float("inf"))).repartition(1), "quality-fit")
+    while True:
+        far = fit.join(now.drop("log_det"), "grp").select("grp", "start", *STATS, _distance().alias("d2"))
+        edge = cut(far.groupBy("grp", "start").agg(F.percentile_approx("d2", F.lit(SUPPORT), F.lit(2000)).alias("edge")).repartition(1), "quality-edge")
+        step = far.join(edge, ["grp", "start"]).where("d2 <= edge").groupBy("grp", "start").agg(*_moments(CONSISTENCY)).select("grp", "start", *_SHAPE, _log_det())
+        step = cut(step.repartition(1), "quality-step")
+        was = now.select("grp", "start", F.col("log_det").alias("was"))
+        better = step.join(was, ["grp", "start"]).where(F.col("was") - F.col("log_det") > GAIN).drop("was")
+        if better.isEmpty():
+            break
+        both = now.unionByName(better).groupBy("grp", "start").agg(F.min_by(F.struct(*_SHAPE, "log_det"), "log_det").alias("e"))
+        now = cut(both.select("grp", "start", "e.*").repartition(1), "quality-fit")
+    best = now.groupBy("grp").agg(F.min_by(F.struct(*_SHAPE, "log_det"), order).alias("e"))
+    return cut(best.select("grp", "e.*").repartition(1), "quality-best")
+
+
+def outlier_flags(counts: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``counts`` with ``base_failed, distance, kept``.
 
     Estimates use the rows that pass the base rules; null language and source
-    are groups of their own. Groups under ``least_group`` rows share an
-    estimate with the others of their language, then with all; if even those are
-    too few nothing is rejected by distance. A constant statistic can't make the
-    covariance singular, as every variance has a floor. An empty table stays
-    empty.
+    are groups of their own. A group with fewer than ``LEAST_ROWS`` such rows has
+    no covariance: its rows have a null distance and are kept if they pass the
+    base rules. A constant statistic can't make the covariance singular, as every
+    variance has a floor. An empty table stays empty.
     """
     table = cut(statistics(counts), "quality-stats")
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    fit = table.where(~F.col("base_failed"))
-    sizes = fit.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    big = F.col("n") >= least_group
-    sizes = sizes.select("lang", "source", F.when(big, F.concat_ws("\u0001", name("lang"), name("source"))).alias("own"), "n")
-    by_lang = sizes.where("own is null").groupBy("lang").agg(F.sum("n").alias("pool")).withColumn("lang_own", F.when(F.col("pool") >= least_group, name("lang")))
-    whole = by_lang.where("lang_own is null").agg(F.coalesce(F.sum("pool"), F.lit(0)).alias("rest"))
-    groups = sizes.withColumnRenamed("lang", "gl").join(by_lang.select(F.col("lang").alias("bl"), "lang_own"), F.col("gl").eqNullSafe(F.col("bl")), "left").crossJoin(F.broadcast(whole))
-    groups = groups.select("gl", F.col("source").alias("gs"), F.coalesce("own", "lang_own", F.when(F.col("rest") >= least_group, F.lit("*"))).alias("grp"))
-    # Tables of one row per group are one file each, whose size Spark checks before it sends them.
-    groups = cut(groups.repartition(1), "quality-groups")
-    rows = cut(table.join(groups, table["lang"].eqNullSafe(groups["gl"]) & table["source"].eqNullSafe(groups["gs"]), "left").drop("gl", "gs"), "quality-rows")
-
-    fit = rows.where(~F.col("base_failed") & F.col("grp").isNotNull())
-    # Start: medians and absolute deviations, which half of the rows can't move.
-    accuracy = F.lit(2000)
-    centre = fit.groupBy("grp").agg(*[F.percentile_approx(z, F.lit(0.5), accuracy).alias(f"m{i}") for i, z in enumerate(STATS)])
-    centre = cut(centre.repartition(1), "quality-centre")
-    spread = fit.join(centre, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(4)], *[F.percentile_approx(F.abs(F.col(z) - F.col(f"m{i}")), F.lit(0.5), accuracy).alias(f"d{i}") for i, z in enumerate(STATS)])
-    shape = [(F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(i, 4)]
-    now = cut(spread.select("grp", *[f"m{i}" for i in range(4)], *shape).repartition(1), "quality-fit")
-    for _ in range(steps):
-        far = fit.join(now, "grp").select("grp", *STATS, _distance().alias("d2"))
-        edge = cut(far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(SUPPORT), accuracy).alias("edge")).repartition(1), "quality-edge")
-        now = cut(far.join(edge, "grp").where("d2 <= edge").groupBy("grp").agg(*_moments(CONSISTENCY)).repartition(1), "quality-fit")
-    out = rows.join(now, "grp", "left").withColumn("distance", _distance())
+    rows = table.withColumn("grp", F.concat_ws("\u0001", name("lang"), name("source")))
+    found = estimates(rows.where(~F.col("base_failed")).select("grp", *STATS)).drop("log_det")
+    out = rows.join(found, "grp", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select(*table.columns, "distance", kept.alias("kept"))
