@@ -50,7 +50,7 @@ def test_cascade_is_exact_over_its_universe(spark):
     member = cascade.member(*(np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in ("a", "b")))
     assert [bool(m) for m in member] == [int(r["key"][1:]) % 3 == 0 for r in rows]
     assert url_filter.build_cascade(listed.limit(0), universe).levels == []
-    with pytest.raises(ValueError):
+    with pytest.raises(url_filter.TooLarge):
         url_filter.build_cascade(listed, universe, most_bytes=8)
 
 
@@ -60,6 +60,14 @@ def test_rules_of_any_number_of_shapes(spark):
     urls = [f"http://{h}/{'x' * i}{t}" for h in ("a.com", "b.a.com", "c.b.a.com", "other.org") for i in (0, 1, 2, 59, 60, 61, 62, 119, 120, 130) for t in ("", "y")]
     got = {r["url"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
     assert len({r.shape for r in rules}) == 121 and len(got) == len(urls)
+    # The same from a table of rules, and by the join that takes over where filters would be too large to send.
+    table = spark.createDataFrame([(r.action, r.host, r.path) for r in rules] + [("block", None, "/"), ("block", "a.com", "x")], "action string, host string, path string")
+    pages = spark.createDataFrame([(u, 1, 2) for u in urls + urls[:3]], "url string, HOST int, __k0 int")
+    for most in (64 << 20, 8):
+        judged = url_filter.judge_urls(pages, table, most_bytes=most)
+        assert sorted(judged.columns) == ["__k0", "host", "path", "rule", "url", "verdict"]
+        rows = judged.collect()
+        assert len(rows) == len(urls) + 3 and {r["url"]: (r["rule"], r["verdict"]) for r in rows} == got
     for u in urls:
         host, _, path = u[7:].partition("/")
         fits = [r for r in rules if f".{host}".endswith(f".{r.host}") and f"/{path}".startswith(r.path)]
@@ -218,3 +226,42 @@ def test_chat_round_trip_and_validation(spark):
     first = hashlib.sha256("user\nq\nuser\nq\n".encode()).hexdigest()
     shown = back[3]["turns"]
     assert hashlib.sha256("".join(f"{t['role']}\n{t['text']}\n" for t in shown).encode()).hexdigest() == first
+
+
+TEMPLATES = [
+    chat_format.TEMPLATE, chat_format.ChatTemplate(open="[INST]", close="[/INST]"), chat_format.ChatTemplate(open="\\u", close="\\e^"), chat_format.ChatTemplate(open="#", close="$"),
+    chat_format.ChatTemplate(open="<s>", close="</s>", loss=("user",), follows={"(start)": ("user",), "user": ("user", "assistant"), "assistant": ("user",)}, final=("user",)),
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES, ids=lambda t: t.open)
+def test_chat_round_trip_of_any_template(spark, template):
+    rng = random.Random(3)
+    bits = [template.open, template.close, template.open[:1], template.open[:2], template.close[1:], "\\", "\\0", "\x1b", "1", "\n", "^", "é😀", "word ", "[", "<", "$E", "\\E"]
+    rows = [(c, i, rng.choice(["user", "assistant", "odd\n" + template.open]), "".join(rng.choice(bits) for _ in range(rng.randrange(8)))) for c in range(60) for i in range(rng.randrange(1, 6))]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    segments = chat_format.format_segments(df, template)
+    whole = chat_format.assemble(segments)
+    back = {r["conv_id"]: r for r in chat_format.read_back(whole, template).collect()}
+    for c in range(60):
+        mine = [r for r in rows if r[0] == c]
+        assert [(t["role"], t["text"]) for t in back[c]["turns"]] == [r[2:] for r in mine]
+        assert back[c]["loss_text"] == "".join(t for _, _, role, t in mine if role in template.loss)
+        states = [template.start, *[r[2] for r in mine]]
+        assert back[c]["order_ok"] == all(b in template.follows.get(a, ()) for a, b in zip(states, states[1:]))
+
+
+def test_chat_templates_that_can_not_be_read_back_are_refused():
+    for o, c in (("", "x"), ("a\nb", "c"), ("ab", "xabx"), ("aab", "ab"), ("<", "</x>")):
+        with pytest.raises(ValueError):
+            chat_format.ChatTemplate(open=o, close=c)
+
+
+def test_long_conversations_and_repeated_rows(spark):
+    n = 3000
+    long = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|"), F.col("id").cast("string")).alias("text"))
+    again = spark.createDataFrame([(2, 5, "user", "same")] * 3, "conv_id int, turn bigint, role string, text string")
+    back = {r["conv_id"]: r for r in chat_format.read_back(chat_format.assemble(chat_format.format_segments(long.unionByName(again)))).collect()}
+    assert [t["text"] for t in back[1]["turns"]] == [f"<|{i}" for i in range(n)] and back[1]["order_ok"]
+    assert back[1]["loss_text"] == "".join(f"<|{i}" for i in range(1, n, 2))
+    assert [t["text"] for t in back[2]["turns"]] == ["same"] * 3 and not back[2]["order_ok"]

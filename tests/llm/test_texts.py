@@ -258,6 +258,72 @@ def test_passages_repeat_within_a_document_and_under_one_id(spark):
     assert sorted(left[None]) == ["", third] and other in left[2] and left[3] == [alone]
 
 
+def brute_passages(rows, least):
+    """All columns of ``shared_passages`` from the chunks of each text, in the order (id with nulls last, place in the list)."""
+    chunks, out = [], []
+    for _, t in rows:
+        raw = (t or "").encode()
+        at = [*substring_dedup.chunk_starts(*flat(pa.array([t or ""]))).tolist(), len(raw)] if raw else []
+        chunks.append([raw[a:b] for a, b in itertools.pairwise(at)])
+    holders = collections.defaultdict(set)
+    for i, c in enumerate(chunks):
+        for x in c:
+            holders[x].add(i)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, result = set(), {}
+    for i in order:
+        own = set()
+        flags = []
+        for x in chunks[i]:
+            flags.append((len(x), len(holders[x]) > 1, x in seen or x in own, x in own))
+            own.add(x)
+        seen |= own
+
+        def runs(k, flags=flags):
+            """The length of the run of flagged chunks that each chunk stands in."""
+            sizes, bytes_ = [], [0] * len(flags)
+            for on, group in itertools.groupby(range(len(flags)), key=lambda j: flags[j][k]):
+                group = list(group)
+                if on:
+                    total = sum(flags[j][0] for j in group)
+                    for j in group:
+                        bytes_[j] = total
+            return bytes_
+
+        shared, again = runs(1), runs(2)
+        longest = max(shared, default=0)
+        removed = sum(f[0] for f, n in zip(flags, again, strict=True) if f[2] and n >= least)
+        result[i] = (
+            rows[i][0], len((rows[i][1] or "").encode()), len(flags), sum(n >= least for n in shared), sum(f[0] for f, n in zip(flags, shared, strict=True) if n >= least),
+            longest, sum(f[0] for f in flags if f[3]), removed, longest >= least or removed > 0,
+        )
+    return [result[i] for i in range(len(rows))]
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(11)
+    passages = [sentence(rng, n) for n in (12, 30, 60, 90)] + ["tick tock " * 40, "é" * 300]
+    rows = []
+    for i in range(120):
+        bits = [sentence(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(4))]
+        bits += [rng.choice(passages) for _ in range(rng.randrange(3))]
+        rng.shuffle(bits)
+        rows.append((rng.choice([i, i, i, 7, None]), " ".join(bits)))
+    rows += [(500, None), (501, ""), (502, rows[3][1])]
+    docs = documents(spark, rows).coalesce(1)
+    for least in (100, 1):
+        got = sorted(map(tuple, substring_dedup.shared_passages(docs, least).collect()), key=str)
+        assert got == sorted(brute_passages(rows, least), key=str)
+
+
+def test_a_repeated_pattern_is_set_off_from_its_surroundings(spark):
+    rng = random.Random(15)
+    pattern = "tick " * 60
+    rows = [(i, f"{sentence(rng, 40)} {pattern}{sentence(rng, 40)}") for i in range(4)] + [(9, sentence(rng, 80))]
+    out = {r["doc_id"]: r for r in substring_dedup.shared_passages(documents(spark, rows)).collect()}
+    assert all(out[i]["repeated"] and out[i]["n_shared"] > 0 for i in range(4)) and out[9]["n_shared"] == 0
+
+
 # op9
 
 
