@@ -464,8 +464,9 @@ def keep_one(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """
     classes = cut(_classes(docs, threshold), "near-keep")
     if not _has_repeats(classes) and classes.where("doc_id is null").isEmpty():
-        ids = classes.where("doc_id = class_id").select("doc_id")
-        return docs.join(ids, F.col("doc_id").cast("long") == ids["doc_id"], "left_semi")
+        own = free_name(docs, "__own")
+        ids = classes.where("doc_id = class_id").select(F.col("doc_id").alias(own))
+        return docs.join(ids, F.col("doc_id").cast("long") == F.col(own), "left_semi")
     d1, d2, n = names = tuple(free_name(docs, x) for x in ("__d1", "__d2", "__n"))
     # The texts that stand for their classes, and their ids: the least id, then the least digest.
     stands = classes.where("n_words > 0 and class_key is not null and doc_id is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "d1", "d2")).alias("s")).select("s.*")
