@@ -40,7 +40,7 @@ SLOT_BITS = 17
 LEVELS = 128
 _LEVEL_STEP, _LEVEL_ZERO = 0.25, 12
 _TABLE_BITS = 16
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def _text_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +150,13 @@ class Sampler:
         n = 1 << _TABLE_BITS
         rng = np.random.default_rng(20)
         r, c, beta = rng.gamma(2.0, 1.0, n), rng.gamma(2.0, 1.0, n), rng.random(n)
-        log_s = np.log(WEIGHTS)[:, None]
-        t = np.floor(log_s / r + beta)
-        a = (np.log(c) - r * (t - beta) - r).astype(np.float32)
-        bits = a.view(np.uint32)
-        self.table = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint32)
+        self.table = np.empty((LEVELS, n), np.uint32)
+        log_c = np.log(c)
+        # A level at a time, so that no wide table of doubles is ever held.
+        for level, log_s in enumerate(np.log(WEIGHTS)):
+            t = np.floor(log_s / r + beta)
+            bits = (log_c - r * (t - beta) - r).astype(np.float32).view(np.uint32)
+            self.table[level] = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
         self.factor = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.spread = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

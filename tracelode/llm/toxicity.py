@@ -453,7 +453,7 @@ def _score_rows(sent, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for batch in batches:
-            for part, data, off in blocks(batch, most=2 << 20):
+            for part, data, off in blocks(batch, most=1 << 20):
                 score = pa.array(sent.value.scores(data, off, memo), pa.float64())
                 yield pa.record_batch([*part.columns, score], [*part.schema.names, name])
 
