@@ -118,7 +118,7 @@ def _add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _idf_of(counts: DataFrame, n_docs: int) -> np.ndarray:
     """Logarithm of the inverse document frequency of every slot, from a table of fixed size."""
     df = np.zeros(1 << SLOT_BITS)
-    for row in counts.repartition("slot").mapInArrow(_add_slots, "slot int, counts binary").toLocalIterator():
+    for row in counts.repartition("slot").coalesce(8).mapInArrow(_add_slots, "slot int, counts binary").toLocalIterator():
         lo = row["slot"] * _SLOTS_A_ROW
         df[lo : lo + _SLOTS_A_ROW] = np.frombuffer(bytes(row["counts"]), "<i8")
     return np.log(np.log1p(max(n_docs, 1) / np.maximum(df, 1.0))).astype(np.float32)
