@@ -324,6 +324,48 @@ def test_a_repeated_pattern_is_set_off_from_its_surroundings(spark):
     assert all(out[i]["repeated"] and out[i]["n_shared"] > 0 for i in range(4)) and out[9]["n_shared"] == 0
 
 
+def test_gear_hash_and_digests_are_what_they_are_called():
+    data, off = flat(pa.array([sentence(random.Random(16), 300), "", "é" * 300]))
+    hashes, h = [], 0
+    for b in data.tolist():
+        h = (2 * h + int(substring_dedup._GEAR[b])) % (1 << (8 * substring_dedup._GEAR.itemsize))
+        hashes.append(h)
+    assert substring_dedup.gear_hashes(data).tolist() == hashes
+    h1, h2, row, place, size = substring_dedup._chunks(data, off)
+    for i in range(len(row)):
+        at = int(off[row[i]] + place[i])
+        assert h1[i].tobytes() + h2[i].tobytes() == hashlib.blake2b(data[at : at + size[i]].tobytes(), digest_size=16).digest()
+
+
+def test_op6_takes_passages_out(spark, tmp_path):
+    rng = random.Random(17)
+    passages = [sentence(rng, 60), sentence(rng, 90), "é" * 300, "日本語 " * 60]
+    rows = []
+    for i in range(150):
+        bits = [sentence(rng, rng.randrange(1, 50)) for _ in range(rng.randrange(4))] + [rng.choice(passages) for _ in range(rng.randrange(3))]
+        rng.shuffle(bits)
+        rows.append((i, " ".join(bits)))
+    rows += [(500, None), (501, ""), (502, rows[3][1]), (None, passages[0])]
+    documents(spark, rows).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    left, seen = {}, set()
+    for i, t in rows:
+        raw = (t or "").encode()
+        at = [*substring_dedup.chunk_starts(*flat(pa.array([t or ""]))).tolist(), len(raw)]
+        chunks = [raw[a:b] for a, b in itertools.pairwise(at)]
+        again = [c in seen or c in chunks[:j] for j, c in enumerate(chunks)]
+        kept = b""
+        for old, group in itertools.groupby(range(len(chunks)), key=again.__getitem__):
+            run = b"".join(chunks[j] for j in group)
+            kept += b"" if old and len(run) >= substring_dedup.LEAST_PASSAGE else run
+        left[i] = kept
+        seen.update(chunks)
+    out = {r["doc_id"]: r for r in queries.op6_substring_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r["left_bytes"], r["left_sha256"]) for i, r in out.items()} == {i: (len(t), hashlib.sha256(t).hexdigest()) for i, t in left.items()}
+    assert all(r["left_bytes"] == r["n_bytes"] - r["removed_bytes"] for r in out.values()) and out[502]["left_bytes"] == 0 < out[502]["n_bytes"]
+    texts = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(documents(spark, rows)).collect()}
+    assert texts[500] is None and {i: (t or "").encode() for i, t in texts.items()} == left
+
+
 # op9
 
 

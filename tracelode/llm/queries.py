@@ -104,7 +104,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.shared_passages(_read(spark, sf_dir, "documents"))
+    """Counts of passages, and size and digest of every text that is left once they are taken out."""
+    found = substring_dedup.deduplicated(_read(spark, sf_dir, "documents"))
+    left = F.coalesce("text", F.lit(""))
+    return found.select(*[c for c in found.columns if c != "text"], F.octet_length(left).cast("long").alias("left_bytes"), F.sha2(left, 256).alias("left_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

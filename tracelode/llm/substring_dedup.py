@@ -4,25 +4,32 @@ A gear hash rolls over the bytes; a chunk ends where the hash is the greatest
 within ``REACH`` bytes on both sides (of equal ones in a row, the first, the
 last and some between), so cuts depend on nearby bytes alone, an insertion moves
 only the chunks around it, and a stretch of one repeated pattern has like chunks
-in any surroundings. Chunks are matched by digest, within
+in any surroundings. Chunks are matched by 128-bit BLAKE2 digests, within
 a document as well as across documents: counting combines before the shuffle,
 and occurrences are joined to the repeated digests only, so a passage in a third
-of all texts stays a count until then.
+of all texts stays a count until then. Last, passages are taken out of the texts
+everywhere but in their first place.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from hashlib import blake2b
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut
-from .textblocks import POWERS, U64, _byte_values, blocks, mix
+from .scratch import cut, fresh_path
+from .textblocks import blocks
 from .workers import lean
 
+#: The hash has 16 bits and doubles with every byte, so it forgets a byte after as many.
 GEAR_BYTES = 16
 REACH = 24
 MOST_CHUNK = 4096
@@ -32,20 +39,27 @@ _BLOCK = 256 << 10
 #: such a run but for rare ones of very short words; chance repeats of a single short chunk don't.
 LEAST_PASSAGE = 100
 
-_GEAR = np.random.default_rng(7).integers(1, 2**32, 256, dtype=np.uint32)
+_GEAR = np.random.default_rng(7).integers(1, 2**16, 256, dtype=np.uint16)
 
 
-def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """First byte of every chunk of the block; rows are chunked independently of one another."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
+def gear_hashes(data: np.ndarray) -> np.ndarray:
+    """The rolling hash ``h = 2 * h + gear[byte]`` after every byte, by doubling."""
     h = _GEAR[data]
     k = 1
     with np.errstate(over="ignore"):
         while k < GEAR_BYTES:
-            h[k:] += h[:-k].copy() << np.uint32(k) if n > k else np.uint32(0)
+            if len(h) > k:
+                h[k:] += h[:-k].copy() << np.uint16(k)
             k *= 2
+    return h
+
+
+def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First byte of every chunk of the block; rows are chunked independently of one another."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    h = gear_hashes(data)
     # No cut within a character, nor where the hash or its surroundings reach over the start of a row.
     h[:-1][(data[1:] & 0xC0) == 0x80] = 0
     row_start = off[:-1][off[:-1] < off[1:]]
@@ -59,7 +73,7 @@ def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         np.maximum(top[:-k], top[k:], out=wider[:-k])
         top, k = wider, 2 * k
     # top[i] is the greatest of h[i : i + 16]; two of them cover REACH.
-    ahead = np.zeros(n + 2 * REACH + 1, np.uint32)
+    ahead = np.zeros(n + 2 * REACH + 1, np.uint16)
     ahead[REACH : REACH + n] = top
     at = np.arange(n) + REACH
     before = np.maximum(ahead[at - REACH], ahead[at - k])
@@ -90,19 +104,17 @@ def chunk_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two digests, row, place in the row and size of every chunk."""
+    """Both halves of the digest, row, place in the row and size of every chunk."""
     start = chunk_starts(data, off)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.int32), none, none, none
+        return none, none, none, none, none
     row = np.searchsorted(off, start, "right") - 1
-    size = np.diff(np.append(start, len(data)))
-    up, down = POWERS.upto(len(data))
-    out = []
-    for seed in (11, 12):
-        with np.errstate(over="ignore"):
-            out.append(mix(np.add.reduceat(_byte_values(seed)[data] * up, start) * down[start] + size.astype(U64)))
-    return out[0].view(np.int64), (out[1] >> U64(32)).astype(np.uint32).view(np.int32), row, start - off[row], size
+    ends = np.append(start, len(data))
+    raw = data.tobytes()
+    digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in itertools.pairwise(ends.tolist())])
+    half = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return half[:, 0].copy(), half[:, 1].copy(), row, start - off[row], np.diff(ends)
 
 
 @lean()
@@ -112,7 +124,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in blocks(batch, most=_BLOCK):
             h1, h2, row, place, size = _chunks(data, off)
             n = part.num_rows
-            per_row = np.bincount(row, minlength=n).astype(np.int32)
+            per_row = np.bincount(row, minlength=n)
             ids = part.select(["row", "doc_id"])
             yield _rows(ids, np.diff(off).astype(np.int64), per_row, np.full(n, -1, np.int64), np.zeros(n, np.int32))
             yield _rows(ids.take(pa.array(row)), h1, h2, place, size.astype(np.int32))
@@ -125,7 +137,7 @@ def _rows(ids: pa.RecordBatch, h1: np.ndarray, h2: np.ndarray, at: np.ndarray, s
 def _chunked(docs: DataFrame) -> DataFrame:
     """Heads and chunks of all rows, written once: ``row`` tells rows apart whose ids are equal or null."""
     numbered = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(numbered.mapInArrow(_chunk_rows, "h1 bigint, h2 int, row bigint, doc_id bigint, at bigint, size int"), "chunks")
+    return cut(numbered.mapInArrow(_chunk_rows, "h1 bigint, h2 bigint, row bigint, doc_id bigint, at bigint, size int"), "chunks")
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
@@ -164,6 +176,25 @@ def _passages(rows: DataFrame, least: int) -> DataFrame:
     return hit.select("row", "at", "size", "elsewhere", "within", F.col("elsewhere_bytes").alias("shared_run"), (F.col("again") & (F.col("again_bytes") >= least)).alias("drop"))
 
 
+_COUNTS = ("n_shared", "shared_bytes", "longest_shared", "within_bytes", "removed_bytes")
+
+
+def _per_row(rows: DataFrame, least: int) -> DataFrame:
+    """``row, doc_id, n_bytes, n_chunks``, the counts and ``repeated`` of ``shared_passages``, and ``spans``: the chunks to take
+    out (``at, size``), null where there are none."""
+    one = _passages(rows, least).groupBy("row").agg(
+        F.count_if(F.col("shared_run") >= least).alias("n_shared"),
+        F.sum(F.when(F.col("shared_run") >= least, F.col("size")).otherwise(0)).alias("shared_bytes"),
+        F.max("shared_run").alias("longest_shared"),
+        F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("within_bytes"),
+        F.sum(F.when(F.col("drop"), F.col("size")).otherwise(0)).alias("removed_bytes"),
+        F.collect_list(F.when(F.col("drop"), F.struct("at", "size"))).alias("spans"),
+    )
+    counts = rows.where("at = -1").select("row", "doc_id", F.col("h1").alias("n_bytes"), F.col("h2").alias("n_chunks"))
+    out = counts.join(one, "row", "left").select("row", "doc_id", "n_bytes", "n_chunks", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _COUNTS], "spans")
+    return out.withColumn("repeated", (F.col("longest_shared") >= least) | (F.col("removed_bytes") > 0))
+
+
 def shared_passages(docs: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_chunks, n_shared, shared_bytes, longest_shared, within_bytes, removed_bytes, repeated``.
 
@@ -181,45 +212,74 @@ def shared_passages(docs: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     and of reading where ids are equal. Extra columns are ignored; an empty table
     gives no rows.
     """
-    rows = _chunked(docs.withColumn("__row", F.monotonically_increasing_id()))
-    one = _passages(rows, least).groupBy("row").agg(
-        F.count_if(F.col("shared_run") >= least).alias("n_shared"),
-        F.sum(F.when(F.col("shared_run") >= least, F.col("size")).otherwise(0)).alias("shared_bytes"),
-        F.max("shared_run").alias("longest_shared"),
-        F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("within_bytes"),
-        F.sum(F.when(F.col("drop"), F.col("size")).otherwise(0)).alias("removed_bytes"),
-    )
-    counts = rows.where("at = -1").select("row", "doc_id", F.col("h1").alias("n_bytes"), F.col("h2").cast("long").alias("n_chunks"))
-    names = ("n_shared", "shared_bytes", "longest_shared", "within_bytes", "removed_bytes")
-    out = counts.join(one, "row", "left").select("doc_id", "n_bytes", "n_chunks", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
-    return out.withColumn("repeated", (F.col("longest_shared") >= least) | (F.col("removed_bytes") > 0))
+    return _per_row(_chunked(docs.withColumn("__row", F.monotonically_increasing_id())), least).drop("row", "spans")
 
 
-def _without_spans(names: list[str]):
+def _without_spans(folder: str, names: list[str]):
+    @lean()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if urlparse(folder).scheme else f"file://{folder}")
+        loaded, found, known = -1, None, np.zeros(0, np.int64)
         for batch in batches:
-            text = []
-            for t, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                if not spans:
-                    text.append(t)
-                    continue
-                raw, at, kept = t.encode(), 0, []
-                for s in sorted(spans, key=lambda x: x["at"]):
-                    kept.append(raw[at : s["at"]])
-                    at = s["at"] + s["size"]
-                text.append(b"".join([*kept, raw[at:]]).decode())
-            yield pa.record_batch({c: pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names})
+            told = [c for c in names if c not in batch.schema.names]
+            for part, data, off in blocks(batch):
+                rows = part.column("__row").to_numpy(zero_copy_only=False)
+                if rows[0] >> 33 != loaded:
+                    loaded = int(rows[0] >> 33)
+                    found = pq.read_table(f"{root}/part={loaded}", columns=list({"row", "n_bytes", "spans", *told}), filesystem=store, partitioning=None)
+                    found = found.sort_by("row").combine_chunks().to_batches()[0]
+                    known = found.column("row").to_numpy(zero_copy_only=False)
+                place = np.minimum(np.searchsorted(known, rows), len(known) - 1)
+                mine = found.take(pa.array(place))
+                if not (np.array_equal(known[place], rows) and np.array_equal(mine.column("n_bytes").to_numpy(zero_copy_only=False), np.diff(off))):
+                    raise RuntimeError("the rows differ between two readings")
+                spans = mine.column("spans")
+                held = spans.flatten()
+                of = np.repeat(np.arange(part.num_rows), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                begin = off[of] + held.field("at").to_numpy(zero_copy_only=False)
+                edge = np.zeros(len(data) + 1, np.int8)
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + held.field("size").to_numpy(zero_copy_only=False), -1)
+                stays = np.cumsum(edge[:-1], dtype=np.int8) == 0
+                ends = np.concatenate([[0], np.cumsum(stays)])[off].astype(np.int64)
+                valid = pa.py_buffer(np.packbits(np.asarray(part.column("text").is_valid()), bitorder="little"))
+                text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [valid, pa.py_buffer(ends), pa.py_buffer(data[stays])]).cast(pa.string())
+                column = lambda c: text if c == "text" else mine.column(c) if c in told else part.column(c)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([column(c) for c in names], names)
 
     return run
 
 
+def _taken_out(numbered: DataFrame, least: int, names: list[str]) -> DataFrame:
+    """Columns ``names``, of ``numbered`` or else of ``_per_row``, with passages taken out of ``text``.
+
+    What is found lies in a folder for each part of the first reading; in the second
+    reading each task takes the one of its own part, so texts are not shuffled.
+    """
+    found = _per_row(_chunked(numbered), least)
+    path = fresh_path(numbered.sparkSession, "passages")
+    part = F.shiftright("row", 33).alias("part")
+    found.select("*", part).repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
+    types = {**{f.name: f for f in found.schema.fields}, **{f.name: f for f in numbered.schema.fields}}
+    told = ", ".join(f"`{c.replace('`', '``')}` {types[c].dataType.simpleString()}" for c in names)
+    return numbered.drop(*[c for c in numbered.columns if c not in (*names, "__row", "text")]).mapInArrow(_without_spans(path, names), told)
+
+
 def remove_passages(docs: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text`` everywhere but in their first place.
 
-    Other columns are unchanged (``__spans`` and ``__row`` are reserved). Rows are
-    written once with their numbers, so that rows with equal or null ids keep apart.
+    Other columns are unchanged (``__row`` is reserved). Rows are written once, so
+    that they are read alike twice and rows with equal or null ids keep apart.
+    """
+    held = cut(docs, "rows")
+    return _taken_out(held.withColumn("__row", F.monotonically_increasing_id()), least, docs.columns)
+
+
+def deduplicated(docs: DataFrame, least: int = LEAST_PASSAGE) -> DataFrame:
+    """The columns of ``shared_passages`` and ``text`` without repeated passages but in their first place, one row per row of ``docs``.
+
+    ``docs`` has to come from files without a shuffle, so that both readings meet
+    the rows in the same parts and places; a difference raises an error.
     """
-    held = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
-    spans = _passages(_chunked(held), least).where("drop").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("at", "size")).alias("__spans"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return held.join(spans, "__row", "left").select(*docs.columns, "__spans").mapInArrow(_without_spans(docs.columns), types)
+    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _taken_out(numbered, least, ["doc_id", "n_bytes", "n_chunks", *_COUNTS, "repeated", "text"])
