@@ -193,6 +193,30 @@ def test_outliers_of_groups_of_any_size(spark):
         assert [r["distance"] > quality.CUTOFF for r in mine] == [f > quality.CUTOFF for f in far]
 
 
+def test_rounds_take_moving_groups_only_and_distances_are_products(spark, monkeypatch):
+    """A group that has settled is left out of later rounds, and no row of the data takes a root for its distance."""
+    rng, sizes, write = np.random.default_rng(8), [], quality.cut
+
+    def spy(df, label):
+        out = write(df, label)
+        if label == "quality-edge":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "cut", spy)
+    z = {"same": np.ones((40, 4)), "wide": np.vstack([rng.normal(0, 1, (200, 4)), rng.normal(3, 2, (60, 4))])}
+    rows = [(g, *map(float, v)) for g, x in z.items() for v in x]
+    out = {r["grp"]: r for r in quality.estimates(spark.createDataFrame(rows, "grp string, z0 double, z1 double, z2 double, z3 double")).collect()}
+    assert sizes[0] == 6 and len(sizes) > 3 and sizes == sorted(sizes, reverse=True) and sizes[-1] < 4
+    for g in z:
+        cov = np.array([[out[g][f"c{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
+        w = np.array([[out[g][f"w{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.allclose(w, np.linalg.inv(np.linalg.cholesky(cov)))
+    empty = spark.createDataFrame([], "doc_id int, text string, lang string, source string")
+    plan = quality.outlier_flags(quality.text_counts(empty))._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" not in plan.upper()
+
+
 def test_small_groups_and_empty_tables_reject_nothing(spark):
     docs = spark.createDataFrame([(1, "%% " * 60 + "a b c", "en", "s"), (2, None, None, None)], "doc_id int, text string, lang string, source string")
     rows = {r["doc_id"]: r for r in quality.outlier_flags(quality.text_counts(docs)).collect()}

@@ -100,14 +100,36 @@ def _log_det() -> Column:
     return sum((2.0 * F.log(low[i, i]) for i in range(len(STATS))), F.lit(0.0)).alias("log_det")
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance under mean ``m*`` and covariance ``c*``."""
-    low, solved = _factor(), []
+_INVERSE = [f"w{i}{j}" for i in range(4) for j in range(i + 1)]
+
+
+def _with_inverse(shapes: DataFrame) -> DataFrame:
+    """Adds ``w*``, the inverse of the Cholesky factor, so that no row of the data has to divide or take roots.
+
+    Every column is made in a step of its own, as nested expressions would repeat the
+    ones inside them.
+    """
+    out = shapes
+    for i in range(len(STATS)):
+        for j in range(i + 1):
+            rest = F.col(f"c{j}{i}")
+            for k in range(j):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
     for i in range(len(STATS)):
-        rest = F.col(STATS[i]) - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - low[i, k] * solved[k]
-        solved.append(rest / low[i, i])
+        for j in range(i, -1, -1):
+            if i == j:
+                value = 1.0 / F.col(f"l{i}{i}")
+            else:
+                value = -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j + 1, i)), F.col(f"l{i}{j}") * F.col(f"w{j}{j}")) / F.col(f"l{i}{i}")
+            out = out.withColumn(f"w{i}{j}", value)
+    return out.drop(*[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance under mean ``m*`` and inverse factor ``w*``."""
+    apart = [F.col(STATS[i]) - F.col(f"m{i}") for i in range(4)]
+    solved = [sum((F.col(f"w{i}{j}") * apart[j] for j in range(1, i + 1)), F.col(f"w{i}0") * apart[0]) for i in range(4)]
     return sum((x * x for x in solved[1:]), solved[0] * solved[0])
 
 
@@ -145,26 +167,30 @@ def _starts(fit: DataFrame) -> DataFrame:
 
 
 def estimates(fit: DataFrame) -> DataFrame:
-    """``grp, m*, c*, log_det`` of every group in ``fit`` (``grp`` and the statistics) with at least ``LEAST_ROWS`` rows.
+    """``grp, m*, c*, w*, log_det`` of every group in ``fit`` (``grp`` and the statistics) with at least ``LEAST_ROWS`` rows.
 
     Tables of one row per group and start are one file each, whose size Spark
     checks before it sends them. Each round that goes on has lowered some group's
-    determinant, of which there are finitely many, so the rounds end.
+    determinant, of which there are finitely many, so the rounds end. A round takes
+    only the groups and starts that the one before has moved.
     """
     order = F.struct("log_det", "start")
-    now = cut(_starts(fit).withColumn("log_det", F.lit(float("inf"))).repartition(1), "quality-fit")
+    keep = ["grp", "start", *_SHAPE, *_INVERSE, "log_det"]
+    now = cut(_with_inverse(_starts(fit)).withColumn("log_det", F.lit(float("inf"))).repartition(1), "quality-fit")
+    moving = now
     while True:
-        far = fit.join(now.drop("log_det"), "grp").select("grp", "start", *STATS, _distance().alias("d2"))
+        far = fit.join(moving.drop("log_det"), "grp").select("grp", "start", *STATS, _distance().alias("d2"))
         edge = cut(far.groupBy("grp", "start").agg(F.percentile_approx("d2", F.lit(SUPPORT), F.lit(2000)).alias("edge")).repartition(1), "quality-edge")
         step = far.join(edge, ["grp", "start"]).where("d2 <= edge").groupBy("grp", "start").agg(*_moments(CONSISTENCY)).select("grp", "start", *_SHAPE, _log_det())
         step = cut(step.repartition(1), "quality-step")
-        was = now.select("grp", "start", F.col("log_det").alias("was"))
+        was = moving.select("grp", "start", F.col("log_det").alias("was"))
         better = step.join(was, ["grp", "start"]).where(F.col("was") - F.col("log_det") > GAIN).drop("was")
-        if better.isEmpty():
+        # The others have settled: a further step from the same estimate would be the same.
+        moving = cut(_with_inverse(better).select(*keep).repartition(1), "quality-moving")
+        if moving.isEmpty():
             break
-        both = now.unionByName(better).groupBy("grp", "start").agg(F.min_by(F.struct(*_SHAPE, "log_det"), "log_det").alias("e"))
-        now = cut(both.select("grp", "start", "e.*").repartition(1), "quality-fit")
-    best = now.groupBy("grp").agg(F.min_by(F.struct(*_SHAPE, "log_det"), order).alias("e"))
+        now = cut(now.join(moving, ["grp", "start"], "left_anti").select(*keep).unionByName(moving).repartition(1), "quality-fit")
+    best = now.groupBy("grp").agg(F.min_by(F.struct(*_SHAPE, *_INVERSE, "log_det"), order).alias("e"))
     return cut(best.select("grp", "e.*").repartition(1), "quality-best")
 
 
