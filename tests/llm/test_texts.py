@@ -175,6 +175,16 @@ def test_coder_round_trip():
     assert sum(map(len, token_coder.encode_blocks(np.tile(np.arange(50, dtype=np.uint32), 200), 49408))) < 5000
 
 
+def test_coder_uses_two_ids_before():
+    """What follows 7 is told by the id before it: random are only 3 bits of every three ids."""
+    rng = np.random.default_rng(18)
+    first = rng.integers(100, 108, 2 * token_coder.BLOCK_IDS)
+    ids = np.stack([first, np.full(len(first), 7), first * 31], axis=1).ravel().astype(np.uint32)
+    coded = token_coder.encode_blocks(ids, 5000)
+    assert (token_coder.decode_blocks(coded, 5000) == ids).all()
+    assert sum(map(len, coded)) < 0.8 * len(first)
+
+
 def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
     rows = [(5, "b c"), (1, None), (9, "x " * 9000), (5, "b c"), (5, "a"), (None, "n"), (7, "")]
     docs = documents(spark, rows).withColumn("start", F.lit("clash")).repartition(3)

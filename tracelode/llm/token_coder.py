@@ -27,12 +27,19 @@ from .textblocks import blocks
 from .wordpieces import encoder
 from .workers import lean
 
-MAGIC = b"TLCM1\0\0\0"
+MAGIC = b"TLCM2\0\0\0"
 BLOCK_IDS = 8192
-FILE_IDS = 5_000_000
+#: Small files have few lanes, whose steps cost almost as much as those of many.
+FILE_IDS = 8_000_000
 _H2, _H1 = 12, 11
 _LOW32 = np.uint64(0xFFFFFFFF)
 _S24, _S32 = np.uint64(24), np.uint64(32)
+#: By trust in a candidate, plus 8 if it was right: the change of its entry, and whether a new one takes its place.
+_STEP = np.array([0, 0, 0, -2, -2, -2, -2, -2, 1, 1, 1, 1, 1, 1, 1, 0], np.int64)
+_ANEW = np.arange(16) < 3
+_THREE = np.int64(3)
+#: Steps whose contexts the encoder looks up at once, as it knows the ids.
+_AHEAD = 64
 
 
 class BadBlock(ValueError):
@@ -68,7 +75,6 @@ class Lanes:
         self.p2 = np.tile((q2 * 2 + 1) * 57344 // 18, n)
         self.p1 = np.tile((q1 * 2 + 1) * 32768 // 18, n)
         self.hist = np.full((n, classes.n), 2, np.int64)
-        self.c1 = self.c2 = np.zeros(n, np.int64)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
         self.rebuild()
 
@@ -84,33 +90,40 @@ class Lanes:
         self.hist -= self.hist >> 2
         np.maximum(self.hist, 1, out=self.hist)
 
-    def predict(self, m: int):
-        """For the first m lanes: table places, entries, and the three widths in 2^24ths."""
-        c1, c2 = self.c1[:m], self.c2[:m]
+    def places(self, c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table places of the contexts, for lanes along the last axis."""
+        m = c1.shape[-1]
         mixed = c1 * 0x9E3779B1
         k1 = ((mixed & 0xFFFFFFFF) >> (32 - _H1)) + self.at1[:m]
-        k2 = (((mixed + c2 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _H2)) + self.at2[:m]
+        return k1, (((mixed + c2 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - _H2)) + self.at2[:m]
+
+    def predict(self, m: int, k1: np.ndarray, k2: np.ndarray):
+        """For the first m lanes: table places, entries, and the three widths in 2^24ths."""
         e1, e2 = self.t1.take(k1).astype(np.int64), self.t2.take(k2).astype(np.int64)
-        s1, s2 = e1 >> 3, e2 >> 3
+        s1, s2, f1, f2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
         agree = s1 == s2
-        ctx = ((e2 & 7) << 4) + ((e1 & 7) << 1) + agree + self.atp[:m]
+        ctx = (f2 << 4) + (f1 << 1) + agree + self.atp[:m]
         p2, p1 = self.p2.take(ctx), self.p1.take(ctx)
         w2 = p2 << 8
         rest = (1 << 24) - w2
         w1 = (rest * p1) >> 16
         w1[agree] = 0
-        return k1, k2, e1, e2, s1, s2, ctx, p2, p1, w2, w1, rest - w1
+        return k1, k2, e1, e2, s1, s2, ctx, p2, p1, w2, w1, rest - w1, f1, f2
 
-    def update(self, m: int, seen, ids, cls, hit2, hit1) -> None:
-        k1, k2, e1, e2, s1, s2, ctx, p2, p1, *_ = seen
+    def update(self, m: int, seen, fresh, cls, hit2, hit1, same1) -> None:
+        """``same1``: the order-1 candidate is the id, also where order 2 has it; ``fresh``: a new entry for the id."""
+        k1, k2, e1, e2, _, _, ctx, p2, p1, *_, f1, f2 = seen
         self.p2[ctx] = np.maximum(p2 + ((hit2 * 57344 - p2) >> 5), 32)
-        self.p1[ctx] = np.where(hit2, p1, np.maximum(p1 + ((hit1 * 32768 - p1) >> 5), 32))
-        fresh = (ids << 3) + 1
-        self.t2[k2] = np.where(s2 == ids, e2 + ((e2 & 7) < 7), np.where((e2 & 7) > 2, e2 - 2, fresh))
-        self.t1[k1] = np.where(s1 == ids, e1 + ((e1 & 7) < 7), np.where((e1 & 7) > 2, e1 - 2, fresh))
-        self.hist.ravel()[self.ath[:m] + cls] += 24 * ~(hit2 | hit1)
-        self.c2[:m] = self.c1[:m]
-        self.c1[:m] = ids
+        moved = np.maximum(p1 + ((hit1 * 32768 - p1) >> 5), 32)
+        np.copyto(moved, p1, where=hit2)
+        self.p1[ctx] = moved
+        for table, k, e, f, same in ((self.t2, k2, e2, f2, hit2), (self.t1, k1, e1, f1, same1)):
+            f = f + (same << _THREE)
+            e = e + _STEP.take(f)
+            np.copyto(e, fresh, where=_ANEW.take(f))
+            table[k] = e
+        gone = np.flatnonzero(~(hit2 | hit1))
+        self.hist.ravel()[(self.ath[:m] + cls)[gone]] += 24
 
     def narrow(self, m: int, unit, start, width):
         """Takes the interval; returns which lanes shift 32 bits out, and their low ends before."""
@@ -146,9 +159,10 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     n = -(-total // BLOCK_IDS)
     longest = min(total, BLOCK_IDS)
     tail = total - (n - 1) * BLOCK_IDS
-    grid = np.zeros((longest, n), np.int32)
-    grid[:, : n - 1] = ids[: (n - 1) * BLOCK_IDS].reshape(n - 1, -1).T if n > 1 else 0
-    grid[:tail, n - 1] = ids[(n - 1) * BLOCK_IDS :]
+    # Two rows of zeros go before, as the contexts of the first ids.
+    grid = np.zeros((longest + 2, n), np.int32)
+    grid[2:, : n - 1] = ids[: (n - 1) * BLOCK_IDS].reshape(n - 1, -1).T if n > 1 else 0
+    grid[2 : tail + 2, n - 1] = ids[(n - 1) * BLOCK_IDS :]
     k = _classes(vocabulary)
     lanes = Lanes(n, k)
     out, filled = np.zeros((n, longest + 2), np.uint32), np.zeros(n, np.int64)
@@ -156,24 +170,30 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
         for t in range(longest):
             if _due(t):
                 lanes.rebuild()
-            m = n if t < tail else n - 1
-            x = grid[t, :m].astype(np.int64)
-            seen = lanes.predict(m)
+            m, i = n if t < tail else n - 1, t % _AHEAD
+            if not i:
+                told = grid[t : t + _AHEAD + 2].astype(np.int64)
+                k1s, k2s = lanes.places(told[1:-1], told[:-2])
+                xs = told[2:]
+                news, clss = (xs << 3) + 1, k.of.take(xs)
+                sizes, insides, ats = k.size.take(clss), xs - k.first.take(clss), clss + lanes.atc
+            x, cls, at = xs[i, :m], clss[i, :m], ats[i, :m]
+            seen = lanes.predict(m, k1s[i, :m], k2s[i, :m])
             s1, s2, w2, w1, rest = seen[4], seen[5], seen[9], seen[10], seen[11]
-            hit2 = s2 == x
-            hit1 = (s1 == x) & ~hit2
-            cls = k.of.take(x)
-            at = lanes.atc[:m] + cls
+            hit2, same1 = s2 == x, s1 == x
+            hit1 = same1 & ~hit2
             a = (lanes.cum.take(at) * rest) >> 12
-            width = _ratio(((lanes.cum.take(at + 1) * rest) >> 12) - a, k.size.take(cls))
-            start = w2 + w1 + a + (x - k.first.take(cls)) * width
-            start = np.where(hit2, 0, np.where(hit1, w2, start))
-            width = np.where(hit2, w2, np.where(hit1, w1, width))
+            width = _ratio(((lanes.cum.take(at + 1) * rest) >> 12) - a, sizes[i, :m])
+            start = w2 + w1 + a + insides[i, :m] * width
+            np.copyto(start, w2, where=hit1)
+            np.copyto(start, 0, where=hit2)
+            np.copyto(width, w1, where=hit1)
+            np.copyto(width, w2, where=hit2)
             gone, low = lanes.narrow(m, lanes.range[:m] >> _S24, start, width)
             if gone is not None:
                 out[gone, filled[gone]] = low[gone] >> _S32
                 filled[gone] += 1
-            lanes.update(m, seen, x, cls, hit2, hit1)
+            lanes.update(m, seen, news[i, :m], cls, hit2, hit1, same1)
     rows = np.arange(n)
     out[rows, filled] = lanes.low >> _S32
     out[rows, filled + 1] = lanes.low & _LOW32
@@ -203,12 +223,13 @@ def decode_blocks(coded: list[bytes], vocabulary: int) -> np.ndarray:
     code = (words[:, 0] << _S32) | words[:, 1]
     read = np.full(n, 2)
     grid = np.zeros((longest, n), np.uint32)
+    c1 = c2 = np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
         for t in range(longest):
             if _due(t):
                 lanes.rebuild()
             m = n if t < tail else n - 1
-            seen = lanes.predict(m)
+            seen = lanes.predict(m, *lanes.places(c1[:m], c2[:m]))
             s1, s2, w2, w1, rest = seen[4], seen[5], seen[9], seen[10], seen[11]
             unit = lanes.range[:m] >> _S24
             v = np.minimum((code[:m] - lanes.low[:m]) // unit, np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -217,20 +238,25 @@ def decode_blocks(coded: list[bytes], vocabulary: int) -> np.ndarray:
             hit1 = (u < 0) & ~hit2
             u = np.maximum(u, 0)
             cls = lanes.lut.take(np.minimum(_ratio((u << 12) + 4095, rest), 4095) + lanes.atl[:m]).astype(np.int64)
-            at = lanes.atc[:m] + cls
+            at, size = lanes.atc[:m] + cls, k.size.take(cls)
             a = (lanes.cum.take(at) * rest) >> 12
-            width = _ratio(((lanes.cum.take(at + 1) * rest) >> 12) - a, k.size.take(cls))
-            place = np.minimum(_ratio(u - a, width), k.size.take(cls) - 1)
-            hit = hit2 | hit1
-            x = np.where(hit2, s2, np.where(hit1, s1, k.first.take(cls) + place))
-            cls = np.where(hit, k.of.take(x), cls)
-            start = np.where(hit2, 0, np.where(hit1, w2, w2 + w1 + a + place * width))
-            width = np.where(hit2, w2, np.where(hit1, w1, width))
+            width = _ratio(((lanes.cum.take(at + 1) * rest) >> 12) - a, size)
+            place = np.minimum(_ratio(u - a, width), size - 1)
+            x = k.first.take(cls) + place
+            start = w2 + w1 + a + place * width
+            np.copyto(x, s1, where=hit1)
+            np.copyto(start, w2, where=hit1)
+            np.copyto(width, w1, where=hit1)
+            np.copyto(x, s2, where=hit2)
+            np.copyto(start, 0, where=hit2)
+            np.copyto(width, w2, where=hit2)
             gone, _ = lanes.narrow(m, unit, start, width)
             if gone is not None:
                 code[gone] = (code[gone] << _S32) | words[gone, read[gone]]
                 read[gone] += 1
-            lanes.update(m, seen, x, cls, hit2, hit1)
+            # Where a candidate was hit, its class is not counted.
+            lanes.update(m, seen, (x << 3) + 1, cls, hit2, hit1, s1 == x)
+            c1, c2 = x, c1
             grid[t, :m] = x
     out = np.concatenate([grid[:, : n - 1].T.ravel(), grid[:tail, n - 1]])
     for i, (size, _, _, crc) in enumerate(heads):
