@@ -174,6 +174,22 @@ def test_findings(spark):
     assert [r["line"] for r in review.clamp(found, ranges).collect()] == [14]
 
 
+def test_clamp_meets_ranges_of_one_file_without_pairing_them(spark):
+    random.seed(3)
+    span = lambda: (random.choice("ab"), random.randrange(-40, 60_000), random.choice([None, 0, 3, 40_000, -5]))
+    found = [(i, f, n, None if d is None else n + d) for i, (f, n, d) in enumerate(span() for _ in range(300))] + [(300, None, 1, 2), (301, "a", None, None), (302, "c", 1, 2)]
+    told = [(f, n, n + (d or 0) % 50 - 3) for f, n, d in (span() for _ in range(60))] + [(None, 1, 2), ("a", None, 9), ("a", 9, None)]
+    findings = spark.createDataFrame(found, "id int, file string, line int, end_line int")
+    ranges = spark.createDataFrame(told, "path string, range_start bigint, range_end bigint")
+    got = review.clamp(findings, ranges)
+    assert got.columns == findings.columns
+    know = lambda *v: None not in v
+    want = {i for i, f, n, e in found for p, a, b in told if know(f, n, a, b) and f == p and n <= b and a <= (n if e is None else e)}
+    assert sorted(r["id"] for r in got.collect()) == sorted(want)
+    joins = re.findall(r"Join [^\n]*", got._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and all("__block" in j and "range_start" not in j for j in joins)
+
+
 def test_lenient_json(spark):
     rows = ['{"a": 1}', 'x ```json\n{"a": 2}\n``` y', 'well {"a": 3} so', "garbage", "", None]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "raw string").select(text.lenient_json(F.col("raw"))).collect()]

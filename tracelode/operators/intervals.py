@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a block are 2 to this power: windows go over the blocks of a file, not over the file.
+BLOCK = 14
+
 
 def islands(lines: DataFrame, keys: list[str], number: str) -> DataFrame:
     """``keys, range_start, range_end`` of maximal runs of consecutive numbers; repeats count once."""
@@ -16,3 +19,20 @@ def islands(lines: DataFrame, keys: list[str], number: str) -> DataFrame:
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Do two closed ranges share a number? Meant next to an equality, which makes it a hash join with this residual."""
     return (a_start <= b_end) & (b_start <= a_end)
+
+
+def meeting(rows: DataFrame, key: Column, start: Column, end: Column, ranges: DataFrame) -> DataFrame:
+    """Rows whose closed range shares a number with one of ``ranges`` (``key, range_start, range_end``) of their key.
+
+    One does if the greatest end among ranges that start by the row's end reaches
+    the row's start. That is a running maximum inside blocks of numbers, and one
+    over the blocks before, so the work is a sort and no task holds a whole key.
+    """
+    asked = rows.select(key.alias("__key"), end.cast("bigint").alias("__at"), start.cast("bigint").alias("__start"), F.lit(1).alias("__turn"), F.lit(None).cast("bigint").alias("__end"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"))
+    told = ranges.where(F.col("range_start").isNotNull()).select(F.col("key").alias("__key"), F.col("range_start").cast("bigint").alias("__at"), F.lit(0).alias("__turn"), F.col("range_end").cast("bigint").alias("__end"))
+    both = asked.unionByName(told, allowMissingColumns=True).where(F.col("__key").isNotNull() & F.col("__at").isNotNull()).withColumn("__block", F.shiftright("__at", BLOCK))
+    inside = Window.partitionBy("__key", "__block").orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("__key", "__block").agg(F.max("__end").alias("__most")).select("__key", "__block", F.max("__most").over(before).alias("__before"))
+    near = both.withColumn("__near", F.max("__end").over(inside)).where("__turn = 1")
+    return near.join(blocks, ["__key", "__block"]).where(F.greatest("__near", "__before") >= F.col("__start")).select("__row.*")

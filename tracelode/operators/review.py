@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lenient_json
 from ..schemas import CATEGORIES, SEVERITY_RANK
-from .intervals import overlap
+from .intervals import meeting, overlap
 
 MOST_CONTAINING = 16
 
@@ -56,9 +56,7 @@ def order_findings(findings: DataFrame) -> DataFrame:
 
 def clamp(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     """Findings whose lines meet an added range of their file (``path, range_start, range_end``)."""
-    r = ranges.select(F.col("path").alias("rp"), "range_start", "range_end")
-    end = F.coalesce("end_line", "line")
-    return findings.join(r, (F.col("file") == F.col("rp")) & overlap(F.col("line"), end, F.col("range_start"), F.col("range_end")), "left_semi")
+    return meeting(findings, F.col("file"), F.col("line"), F.coalesce("end_line", "line"), ranges.select(F.col("path").alias("key"), "range_start", "range_end"))
 
 
 def comment_payload(findings: DataFrame) -> DataFrame:
