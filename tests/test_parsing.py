@@ -99,3 +99,12 @@ def test_nothing_to_parse():
     assert parse_source("a.py", "python", b"").chunks == []
     assert parse_source("a.md", "markdown", b"# x").chunks == []
     assert parse_source("a.ts", "typescript", "class {{{ ' ` \ufffd".encode()).chunks == []
+
+
+def test_small_tables_of_sources_are_parsed_in_many_tasks(spark):
+    from tracelode.plans import code_queries
+
+    rows = code_queries.py_chunks(spark, "/root/testdata/sf0.001").rdd
+    assert rows.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    sizes = rows.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert max(sizes) <= 10 * sum(sizes) / len(sizes)

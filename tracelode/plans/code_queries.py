@@ -13,7 +13,7 @@ from .star_graph import EDGES_SQL, NODES_SQL, edges, nodes, table
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python module per customer (a class with a method, a function; they call one another) and one with their base class."""
-    c = table(spark, sf_dir, "customer")
+    c = repo.dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
     key, region = F.col("c_custkey").cast("string"), (F.col("c_nationkey") % 5).cast("string")
     text = F.format_string(
         "import region_%s\nfrom . import base\n\nclass S%s(Base, object):\n    def load_%s(self):\n        print(self)\n        return fetch_%s(self)\n\ndef fetch_%s(x):\n    return load_%s(x)\n",

@@ -114,6 +114,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("relpath", "language", "content").mapInArrow(run, ddl)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over enough tasks for all cores, whatever files they come from: a few MB of keys make hours of parsing."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism))
+
+
 def _inner(ddl: str) -> str:
     return ", ".join(part.replace(" ", ": ", 1) for part in ddl.split(", "))
 
