@@ -108,3 +108,37 @@ def test_small_tables_of_sources_are_parsed_in_many_tasks(spark):
     assert rows.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
     sizes = rows.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert max(sizes) <= 10 * sum(sizes) / len(sizes)
+
+
+def test_calls_and_imports_in_every_kind_of_statement():
+    text = b"""@deco(arg())
+def f(x=default(), *, y: note() = 1) -> result():
+    import a
+    try:
+        from b import c
+    except error() as e:
+        import d
+    else:
+        import g
+    finally:
+        import h
+    with ctx() as w, lock():
+        import i
+    match x:
+        case Point(y=0) if guard():
+            import j
+    return f"{fmt(lambda: inner())}" if test() else [item() for item in items() if keep()]
+if flag():
+    import k
+    def g(): pass
+"""
+    p = parse_source("a.py", "python", text)
+    assert p.chunks[0]["calls"] == "deco arg note default ctx lock guard test fmt inner item items keep result".split()
+    assert [i["target"] for i in p.imports] == ["a", "b", "g", "h", "d", "i", "j", "k"] and [c["name"] for c in p.chunks] == ["f", "g"]
+
+
+def test_graph_query_parses_once(spark):
+    from tracelode.plans import code_queries
+
+    plan = code_queries.graph_build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" in plan

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, incremental, packs, review, search
-from ..settle import shared_folder
+from ..settle import settle, shared_folder
 from ..sources import diffs, repo
 from .star_graph import EDGES_SQL, NODES_SQL, edges, nodes, table
 
@@ -38,8 +38,9 @@ def py_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the parsed sources, ends by qualified name."""
     files = _sources(spark, sf_dir)
-    parsed = repo.parse_files(files)
-    made, links = graph.build_graph(files, repo.chunks_of(parsed), repo.imports_of(parsed))
+    # Parsed once, then kept without the code, as the graph reads both tables many times.
+    parsed = settle(repo.parse_files(files).select(F.transform("chunks", lambda x: x.dropFields("code")).alias("chunks"), "imports"))
+    made, links = graph.build_graph(files, settle(repo.chunks_of(parsed)), repo.imports_of(parsed))
     name = lambda c: made.select(F.col("id").alias(c), F.col("qualified_name").alias(f"{c}_name"))
     return links.join(name("src"), "src").join(name("dst"), "dst").select("src_name", "dst_name", "kind", "weight")
 
