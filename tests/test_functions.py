@@ -291,3 +291,17 @@ def test_embeddings(spark):
     cache = spark.createDataFrame([("m", "s2", 4, [1.0])], "model string, sha string, dim int, vector array<float>")
     new = embedding.embed_misses(texts, cache, "m", embedding.hashing_embedder(16)).collect()
     assert {r["sha"] for r in new} == {"s1", "s3"} and all(r["dim"] == 16 for r in new)
+
+
+def test_distinct_pairs_of_edges_are_dealt_by_size_not_by_the_session(spark):
+    from tracelode.plans import star_graph
+    from tracelode.settle import parts_of
+
+    lines = star_graph.table(spark, "/root/testdata/sf0.001", "lineitem")
+    cores, was = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    assert parts_of(lines) == cores and parts_of(lines, 1000) > 50
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert star_graph.edges(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)

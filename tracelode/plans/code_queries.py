@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, incremental, packs, review, search
-from ..settle import settle, shared_folder
+from ..settle import parts_of, settle, shared_folder
 from ..sources import diffs, repo
 from .star_graph import EDGES_SQL, NODES_SQL, edges, nodes, table
 
@@ -160,7 +160,8 @@ def graph_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = incremental.VersionedTable(spark, f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}")
     t.replace(edges(spark, sf_dir), ["kind"])
-    return t.read().groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_src"))
+    saved = t.read()
+    return saved.repartition(parts_of(saved), "kind", "src").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_src"))
 
 
 def findings_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..settle import parts_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,14 +22,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     def edge(df, src, dst, kind):
         return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    def pairs(df, *keys):
+        return df.select(*keys).repartition(parts_of(df), *keys).distinct()
 
     parts = [
         edge(t("nation"), _id("r:", "n_regionkey"), _id("n:", "n_nationkey"), "contains"),
         edge(t("customer"), _id("n:", "c_nationkey"), _id("c:", "c_custkey"), "contains"),
         edge(t("orders"), _id("c:", "o_custkey"), _id("o:", "o_orderkey"), "contains"),
         edge(t("supplier"), _id("n:", "s_nationkey"), _id("s:", "s_suppkey"), "contains"),
-        edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), _id("o:", "l_orderkey"), _id("p:", "l_partkey"), "calls"),
-        edge(t("lineitem").select("l_suppkey", "l_partkey").distinct(), _id("s:", "l_suppkey"), _id("p:", "l_partkey"), "imports"),
+        edge(pairs(t("lineitem"), "l_orderkey", "l_partkey"), _id("o:", "l_orderkey"), _id("p:", "l_partkey"), "calls"),
+        edge(pairs(t("lineitem"), "l_suppkey", "l_partkey"), _id("s:", "l_suppkey"), _id("p:", "l_partkey"), "imports"),
         edge(t("part"), _id("p:", "p_partkey"), _id("b:", "p_brand"), "implements"),
     ]
     return reduce(DataFrame.unionByName, parts)

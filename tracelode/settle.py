@@ -37,6 +37,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame, each: int = 16 << 20) -> int:
+    """Partitions for work that keeps all of a table: one for ``each`` bytes of its files, and one a core at least.
+
+    The session's number of shuffle partitions does not grow with the table, so by
+    that alone the memory of a task does.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // each), 1 << 16))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
