@@ -305,3 +305,16 @@ def test_distinct_pairs_of_edges_are_dealt_by_size_not_by_the_session(spark):
         assert star_graph.edges(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * cores
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_incident_edges_are_picked_before_pairs_are_made_distinct(spark):
+    from tracelode.plans import star_graph
+
+    edges = star_graph.edges(spark, "/root/testdata/sf0.001")
+    ids = spark.createDataFrame([("p:12",), ("p:12",), ("n:1",), (None,)], "node string")
+    got = graph.incident_edges(edges, ids)
+    assert got.columns == ["direction", "of", "node", "kind"]
+    want = [("out", e["src"], e["dst"], e["kind"]) for e in edges.collect() if e["src"] in ("p:12", "n:1")] + [("in", e["dst"], e["src"], e["kind"]) for e in edges.collect() if e["dst"] in ("p:12", "n:1")]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 14 and "Join Inner" not in plan

@@ -96,9 +96,12 @@ def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
 def incident_edges(edges: DataFrame, ids: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """``direction, of, node, kind`` of the edges out of and into the ids (column ``node``)."""
     used = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
-    of = ids.select(F.col("node").alias("of")).distinct()
-    out = used.join(of, used["src"] == of["of"]).select(F.lit("out").alias("direction"), "of", F.col("dst").alias("node"), "kind")
-    return out.unionByName(used.join(of, used["dst"] == of["of"]).select(F.lit("in").alias("direction"), "of", F.col("src").alias("node"), "kind"))
+    # Kept in files, the ids have a size, so few of them are sent to the tasks; semi-joins go
+    # below unions and distinct pairs to the tables, so only incident edges are shuffled.
+    of = settle(ids.select(F.col("node").alias("of")).distinct())
+    out = used.join(of, used["src"] == of["of"], "left_semi").select(F.lit("out").alias("direction"), F.col("src").alias("of"), F.col("dst").alias("node"), "kind")
+    into = used.join(of, used["dst"] == of["of"], "left_semi").select(F.lit("in").alias("direction"), F.col("dst").alias("of"), F.col("src").alias("node"), "kind")
+    return out.unionByName(into)
 
 
 def build_graph(files: DataFrame, chunks: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
