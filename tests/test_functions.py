@@ -318,3 +318,20 @@ def test_incident_edges_are_picked_before_pairs_are_made_distinct(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftSemi") == 14 and "Join Inner" not in plan
+
+
+def test_containing_meets_only_near_ranges_of_a_file(spark):
+    random.seed(5)
+    span = lambda i, most: (i, random.choice("ab"), (n := random.randrange(-300, 3000)), n + random.choice([0, 0, 1, 2, 3, 7, 8, 64, most, -1, -4]))
+    left, right = [span(i, 200) for i in range(150)] + [(150, None, 1, 2), (151, "a", None, 2)], [span(i, 2500) for i in range(150)] + [(150, None, 1, 2), (151, "a", 1, None)]
+    hunks = spark.createDataFrame(left, "hunk_id int, path string, new_start int, new_end int")
+    chunks = spark.createDataFrame(right, "chunk_id int, path string, start_line int, end_line int")
+    got = sorted(map(tuple, review.containing(hunks, chunks, 5).collect()))
+    want = []
+    for h, p, a, b in left:
+        met = sorted((e - s, s, c) for c, q, s, e in right if None not in (p, a, b, q, s, e) and p == q and s <= b and a <= e)
+        want += [(h, c, r + 1) for r, (_, _, c) in enumerate(met[:5])]
+    assert got == sorted(want) and len(got) > 300
+    assert review.containing(hunks.where("false"), chunks).count() == 0 == review.containing(hunks, chunks.where("false")).count()
+    joins = re.findall(r"Join Inner, [^\n]*", review.containing(hunks, chunks)._jdf.queryExecution().optimizedPlan().toString())
+    assert len(joins) == 1 and "bin" in joins[0] and "at" in joins[0]

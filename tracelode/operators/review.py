@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lenient_json
 from ..schemas import CATEGORIES, SEVERITY_RANK
-from .intervals import meeting, overlap
+from .intervals import meeting, paired
 
 MOST_CONTAINING = 16
 
@@ -23,13 +23,13 @@ def rank_of(severity: Column) -> Column:
 def containing(hunks: DataFrame, chunks: DataFrame, most: int = MOST_CONTAINING) -> DataFrame:
     """``hunk_id, chunk_id, rank``: chunks of the hunk's file that overlap it, shortest first.
 
-    An equi-join on the file with the overlap as residual, ranked per hunk.
+    Only ranges near each other in a file meet (see ``paired``); ranked per hunk.
     """
-    h = hunks.select("hunk_id", F.col("path").alias("hp"), F.col("new_start").alias("hs"), F.col("new_end").alias("he"))
-    hit = h.join(chunks, (F.col("hp") == F.col("path")) & overlap(F.col("start_line"), F.col("end_line"), F.col("hs"), F.col("he")))
-    order = Window.partitionBy("hunk_id").orderBy(F.col("end_line") - F.col("start_line"), "start_line", "chunk_id")
-    ranked = hit.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    return ranked.where(F.col("rank") <= most).select("hunk_id", "chunk_id", "rank")
+    h = hunks.select(F.col("hunk_id").alias("id"), F.col("path").alias("key"), F.col("new_start").alias("start"), F.col("new_end").alias("end"))
+    c = chunks.select(F.col("chunk_id").alias("id"), F.col("path").alias("key"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    order = Window.partitionBy("left_id").orderBy(F.col("right_end") - F.col("right_start"), "right_start", "right_id")
+    ranked = paired(h, c).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranked.where(F.col("rank") <= most).select(F.col("left_id").alias("hunk_id"), F.col("right_id").alias("chunk_id"), "rank")
 
 
 def parse_findings(answers: DataFrame, column: str = "raw") -> DataFrame:
